@@ -268,7 +268,7 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) ->
     kept = whole.join(copies, "key", "left_anti")
     repeated = labels.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key")
     if not repeated.isEmpty():
-        one = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+        one = Window.partitionBy("key").orderBy(F.col("row.text"))
         again = kept.join(repeated, "key", "left_semi").withColumn("rank", F.row_number().over(one)).where("rank = 1")
         kept = kept.join(repeated, "key", "left_anti").unionByName(again.drop("rank"))
     return kept.select("row.*")
