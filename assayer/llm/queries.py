@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm.common import read
+from assayer.llm.mixing import mix_order
 from assayer.llm.quality_rules import quality_report
+from assayer.llm.secrets import secret_report
 from assayer.llm.simhash import simhash_components
 
 
@@ -19,9 +21,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_order(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_pfair_mixing": op7_pfair_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
