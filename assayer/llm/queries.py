@@ -6,11 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.llm import quality_rules, url_filter
 from assayer.llm.common import read
+from assayer.llm.decontaminate import find_leaks
+from assayer.llm.html_text import extract_pages
+from assayer.llm.langid import identify
 from assayer.llm.mixing import mix_order
-from assayer.llm.quality_rules import quality_report
+from assayer.llm.quality_model import score_quality
 from assayer.llm.secrets import secret_report
 from assayer.llm.simhash import simhash_components
+from assayer.llm.tokens import count_tokens
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +35,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(read(spark, sf_dir, "documents"))
+    return quality_rules.quality_report(read(spark, sf_dir, "documents"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +46,26 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
-    "op5_quality_rules": op5_quality_rules,
-    "op6_secret_scans": op6_secret_scans,
-    "op7_pfair_mixing": op7_pfair_mixing,
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_url_filters, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_quality_rules,
+        op6_secret_scans, op7_pfair_mixing, op8_language_id, op9_token_counts, op10_quality_classifier,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL}

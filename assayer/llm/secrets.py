@@ -119,19 +119,29 @@ def token_p_value(found: Column, size: Column, alphabet: Column) -> Column:
 
     def battery(v: Column) -> Column:
         n = F.size(v).cast("double")
-        mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-        square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-        pairs = F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(1))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        lagged = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.coalesce((p["a"] - mean) * (p["b"] - mean), F.lit(0.0)))
-        changes = F.size(F.filter(pairs, lambda p: (p["a"] < half) != (p["b"] < half)))
+        moments = F.struct(n.alias("n"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n).alias("mean"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x).alias("square"))
+        return let(moments, lambda m: let(sums(v, m), lambda r: let(z_values(m, r), p_value)))
+
+    def sums(v: Column, m: Column) -> Column:
+        rest = F.greatest(F.size(v) - 1, F.lit(1))
+        pairs = F.zip_with(F.slice(v, F.lit(1), rest), F.slice(v, F.lit(2), rest), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        lagged = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.coalesce((p["a"] - m["mean"]) * (p["b"] - m["mean"]), F.lit(0.0)))
+        changes = F.size(F.filter(pairs, lambda p: (p["a"] < half) != (p["b"] < half))).cast("double")
         counts = F.transform(F.array_distinct(v), lambda c: F.size(F.filter(v, lambda x: x == c)).cast("double"))
-        chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * size / n - n
-        z_chi = (chi - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
-        z_runs = (changes - (n - 1) / 2.0) / F.sqrt((n - 1) / 4.0)
-        spread = square - n * mean * mean
-        z_serial = F.when(spread > 1e-9, lagged / spread * F.sqrt(n)).otherwise(F.lit(40.0))
-        p = F.least(normal_tail(z_chi), 2 * normal_tail(F.abs(z_runs)), 2 * normal_tail(F.abs(z_serial)))
-        return 1.0 - F.pow(1.0 - F.least(F.lit(1.0), p), F.lit(3.0))
+        return F.struct(lagged.alias("lagged"), changes.alias("changes"), F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c).alias("squares"))
+
+    def z_values(m: Column, r: Column) -> Column:
+        n = m["n"]
+        chi = (r["squares"] * size / n - n - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
+        runs = F.abs((r["changes"] - (n - 1) / 2.0) / F.sqrt((n - 1) / 4.0))
+        spread = m["square"] - n * m["mean"] * m["mean"]
+        serial = F.when(spread > 1e-9, F.abs(r["lagged"] / spread * F.sqrt(n))).otherwise(F.lit(40.0))
+        return F.array(chi, runs, serial)
+
+    def p_value(z: Column) -> Column:
+        # the first test is one-sided, the others two-sided
+        tails = F.transform(z, lambda x, i: normal_tail(x) * F.when(i == 0, 1.0).otherwise(2.0))
+        return 1.0 - F.pow(1.0 - F.least(F.lit(1.0), F.array_min(tails)), F.lit(3.0))
 
     places = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
     return let(places, battery)
