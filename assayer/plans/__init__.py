@@ -1 +1 @@
-"""plans."""
+"""Plans: objectives compiled, sessions, bundles, and the named queries."""

@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: live scoring and monitor views."""
