@@ -81,13 +81,13 @@ def near_pairs(rows: DataFrame, at_least: float, id: str = "idx", words: str = "
     n = max(1, -(-x.count() // TILE))
     block = x.withColumn("_t", F.pmod(F.xxhash64("id"), F.lit(n)))
     left = block.withColumn("_i", F.col("_t")).withColumn("_j", F.explode(F.sequence(F.col("_t"), F.lit(n - 1).cast("long"))))
-    right = block.withColumn("_j", F.col("_t")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t"))))
+    right = block.select(F.col("id").alias("rid"), F.col("words").alias("rwords"), F.col("_t").alias("_rj")).withColumn("_ri", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rj"))))
 
     def tile(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b, s = [], [], []
         if x.num_rows and y.num_rows:
-            wx, wy, ix, iy = _packed(x), _packed(y), x.column("id").to_numpy(), y.column("id").to_numpy()
-            same = x.column("_i")[0].as_py() == y.column("_j")[0].as_py()
+            wx, wy, ix, iy = _packed(x), _packed(y, "rwords"), x.column("id").to_numpy(), y.column("rid").to_numpy()
+            same = x.column("_i")[0].as_py() == y.column("_rj")[0].as_py()
             for k in range(0, len(wx), 256):
                 sim = tanimoto(wx[k : k + 256], wy)
                 i, j = np.nonzero(sim >= at_least)
@@ -99,7 +99,7 @@ def near_pairs(rows: DataFrame, at_least: float, id: str = "idx", words: str = "
         cat = lambda v, t: np.concatenate(v) if v else np.zeros(0, t)
         return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "sim": cat(s, np.float64)})
 
-    return left.select("id", "words", "_i", "_j").groupBy("_i", "_j").cogroup(right.select("id", "words", "_i", "_j").groupBy("_i", "_j")).applyInArrow(tile, "a long, b long, sim double")
+    return left.select("id", "words", "_i", "_j").groupBy("_i", "_j").cogroup(right.groupBy("_ri", "_rj")).applyInArrow(tile, "a long, b long, sim double")
 
 
 def leaders(ids: DataFrame, pairs: DataFrame, id: str = "idx", max_rounds: int = 200) -> DataFrame:

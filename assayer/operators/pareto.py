@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dominates(columns: Sequence[str], a: str = "a", b: str = "b"):
@@ -50,7 +51,7 @@ def fronts(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] =
         return table.append_column("front", pa.array(rank))
 
     grouped = points.groupBy(*group) if group else points.groupBy(F.lit(1))
-    ranked = grouped.applyInArrow(sort, fields.add("front", "int"))
+    ranked = grouped.applyInArrow(sort, T.StructType([*fields, T.StructField("front", T.IntegerType())]))
     return df.join(ranked, [*group, *columns])
 
 
