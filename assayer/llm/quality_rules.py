@@ -21,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BLANKS, let
+from assayer.llm.common import let
 
 SYMBOLS = "#*$%&|<>"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 #: Frequent function words of the languages the rules know.
 STOP_WORDS = (
@@ -55,34 +56,46 @@ RULES = (
     Rule("marks_per_word", high=0.9),
     Rule("dup_line_rate", high=0.4),
     Rule("stop_word_rate", low=0.04, min_words=40),
-    Rule("letter_rate", low=0.5),
+    Rule("digit_rate", high=0.5),
 )
 
+_BLANK = r"[\x20\x09-\x0D]"
+_MARKS = r"[!?*#&$%|~^=+{}\[\]]"
 
-def statistics(text: Column, words: Column) -> dict[str, Column]:
-    """The statistics by name, given a text and its words (an array)."""
+
+def statistics(text: Column, words: Column) -> Column:
+    """The statistics as one struct, given a text and its words (an array).
+
+    Whole texts are scanned by patterns that seldom match; what counts words
+    walks the array.
+    """
     n = F.size(words)
-    chars = F.length(F.translate(text, BLANKS, ""))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    marks = F.length(text) - F.length(F.translate(text, "!?*#&$%|~^=+{}[]", ""))
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, BLANKS, "")) > 0)
-    bare = lambda w: F.translate(F.lower(w), ".,;:!?\"'()[]", "")
+    chars = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+    bare = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))
     stops = F.size(F.filter(words, lambda w: bare(w).isin(STOP_WORDS)))
-    letters = F.length(F.translate(text, BLANKS + SYMBOLS + "0123456789.,;:!?\"'()[]{}~^=+-_/\\@`", ""))
+    lines = let(lines, lambda s: F.struct(F.size(s).alias("n"), (F.size(s) - F.size(F.array_distinct(s))).alias("dup")))
+    counts = {"n": n, "chars": chars, "symbols": count(f"[{SYMBOLS}]"), "marks": count(_MARKS), "digits": count("[0-9]"), "stops": stops, "lines": lines, "repeat": repeated_words(words)}
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    dup = let(lines, lambda s: F.struct(F.size(s).alias("n"), (F.size(s) - F.size(F.array_distinct(s))).alias("dup")))
-    return {
-        "n_words": n.cast("long"),
-        "word_chars": chars.cast("long"),
-        "n_symbols": symbols.cast("long"),
-        "lines": dup,
-        "n_repeat_words": repeated_words(words).cast("long"),
-        "mean_word_chars": rate(chars, n),
-        "symbols_per_word": rate(symbols, n),
-        "marks_per_word": rate(marks, n),
-        "stop_word_rate": rate(stops, n),
-        "letter_rate": rate(letters, chars),
-    }
+
+    def named(c: Column) -> Column:
+        out = {
+            "n_words": c["n"].cast("long"),
+            "word_chars": c["chars"].cast("long"),
+            "n_symbols": c["symbols"].cast("long"),
+            "n_dup_lines": c["lines"]["dup"].cast("long"),
+            "n_repeat_words": c["repeat"].cast("long"),
+            "mean_word_chars": rate(c["chars"], c["n"]),
+            "symbols_per_word": rate(c["symbols"], c["n"]),
+            "marks_per_word": rate(c["marks"], c["n"]),
+            "dup_line_rate": rate(c["lines"]["dup"], c["lines"]["n"]),
+            "stop_word_rate": rate(c["stops"], c["n"]),
+            "digit_rate": rate(c["digits"], c["chars"]),
+        }
+        return F.struct(*[x.alias(k) for k, x in out.items()])
+
+    return let(F.struct(*[c.alias(k) for k, c in counts.items()]), named)
 
 
 def repeated_words(words: Column, size: int = 5) -> Column:
@@ -107,37 +120,37 @@ def repeated_words(words: Column, size: int = 5) -> Column:
     return F.when(F.size(words) <= size, F.lit(0)).otherwise(let(windows, repeats))
 
 
-def verdicts(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every row of `docs` as struct `row`, with the base statistics, base_failed, failed_rule and kept."""
-    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    out = docs.select(F.struct("*").alias("row")).withColumn("text", text)
-    out = out.withColumn("words", F.array_remove(F.split(F.translate("text", BLANKS, " " * len(BLANKS)), " "), ""))
-    stats = F.struct(*[c.alias(k) for k, c in statistics(F.col("text"), F.col("words")).items()])
-    out = out.select("row", stats.alias("s"))
-    value = lambda k: F.when(F.col("s.lines.n") > 0, F.col("s.lines.dup") / F.col("s.lines.n")).otherwise(F.lit(0.0)) if k == "dup_line_rate" else F.col(f"s.{k}")
-    n, repeat = F.col("s.n_words"), F.col("s.n_repeat_words")
-    base = (n < 10) | (100 * repeat > 20 * n)
+def judged(s: Column, rules: Sequence[Rule]) -> Column:
+    """The base statistics with base_failed, failed_rule (the first that a text breaks) and kept."""
+    n = s["n_words"]
+    base = (n < 10) | (100 * s["n_repeat_words"] > 20 * n)
     broken = F.lit(None).cast("string")
     for r in reversed(rules):
         out_of_range = F.lit(False)
         if r.low is not None:
-            out_of_range |= value(r.stat) < r.low
+            out_of_range |= s[r.stat] < r.low
         if r.high is not None:
-            out_of_range |= value(r.stat) > r.high
+            out_of_range |= s[r.stat] > r.high
         broken = F.when((n >= r.min_words) & out_of_range, F.lit(r.stat)).otherwise(broken)
-    out = out.select("row", "s", base.alias("base_failed"), broken.alias("failed_rule"))
-    return out.select(
-        "row", F.col("s.n_words"), F.col("s.word_chars"), F.col("s.n_symbols"), F.col("s.lines.dup").cast("long").alias("n_dup_lines"), F.col("s.n_repeat_words"),
-        "base_failed", "failed_rule", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"),
-    )
+    kept = F.struct(base.alias("base_failed"), broken.alias("failed_rule"))
+    return let(kept, lambda v: F.struct(*[s[c].alias(c) for c in BASE], v["base_failed"].alias("base_failed"), v["failed_rule"].alias("failed_rule"), (~v["base_failed"] & v["failed_rule"].isNull()).alias("kept")))
+
+
+def verdict(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The whole rule table as one expression over a text: a struct of BASE, base_failed, failed_rule and kept.
+
+    Words and statistics are lambda variables in it, so a filter on the verdict
+    doesn't compute them twice.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return let(text, lambda t: let(F.array_remove(F.split(t, _BLANK + "+"), ""), lambda w: let(statistics(t, w), lambda s: judged(s, rules))))
 
 
 def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The statistics and verdict of every row of `docs` (doc_id, text)."""
-    v = verdicts(docs.select("doc_id", "text"), rules)
-    return v.select(F.col("row.doc_id").alias("doc_id"), *[c for c in v.columns if c != "row"])
+    return docs.select("doc_id", verdict(F.col("text"), rules).alias("v")).select("doc_id", "v.*")
 
 
 def rejected_removed(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
-    return verdicts(docs, rules).where("kept").select("row.*")
+    return docs.where(verdict(F.col("text"), rules)["kept"])
