@@ -35,6 +35,8 @@ SAMPLE = 40_000
 SHARD = 40_000
 #: Levels of the tree that deals out shards, where the sample allows it.
 MIN_LEVELS, MAX_LEVELS = 5, 16
+#: Fingerprints that are labelled by broadcast at most.
+HOT = 2000
 #: Pairs that a shard compares outright.
 BLOCK = 1_500_000
 
@@ -247,13 +249,17 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataF
     bits reach, itself included.
     """
     rows = cut(fingerprints(docs, size))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     found = connected_components(near_links(distinct, radius))
     member = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     linked = member.join(least, "component").select(F.col("node").alias("fp"), "least")
-    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = cut(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
+    # a fingerprint that very many rows share is labelled by a broadcast of at most HOT rows
+    often = max(1000, -(-rows.count() // HOT))
+    hot, cold = labels.where(F.col("n") >= often).drop("n"), labels.where(F.col("n") < often).drop("n")
+    out = rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
