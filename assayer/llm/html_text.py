@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Weights of the neighbours at distance 0, 1 and 2: a Gaussian of standard deviation 1.
 SIGMA, REACH = 1.0, 2
+#: Share of its text that a block of a cluster has outside links.
+MOSTLY = 0.5
 #: Shares of the clustered text that a landmark, or any other container, has to hold.
 LANDMARK, CONTAINER = 0.5, 0.95
 
@@ -159,6 +161,8 @@ class Blocks(HTMLParser):
             self.plain += len(data)
 
     def finish(self) -> list[tuple[_Element, str, int, int]]:
+        if re.match(r"<[A-Za-z/!?]", self.rawdata):  # cut off inside a tag or comment, which close() would take for text
+            self.rawdata = ""
         self.close()
         self._end_block()
         return self.blocks
@@ -184,7 +188,9 @@ def main_text(html: str | None) -> str:
     mine = [not e.aside and (not e.head or e.tag in HEADINGS) for e, *_ in blocks]
     if not any(mine):
         return ""
-    dense = content_lines(np.array([b[2] for b in blocks], float), np.array([b[3] for b in blocks], float)) & mine
+    plain = np.array([b[2] for b in blocks], float)
+    dense = content_lines(plain, np.array([b[3] for b in blocks], float)) & mine
+    dense &= plain >= MOSTLY * np.array([len(b[1]) for b in blocks])
     if not dense.any():
         dense = np.array(mine)
     total = 0
