@@ -154,3 +154,29 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def rejected_removed(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
     return docs.where(verdict(F.col("text"), rules)["kept"])
+
+
+def oracle_sql(rules: Sequence[Rule] = RULES) -> str:
+    """DuckDB SQL for `quality_report` over `documents` with unique doc_ids."""
+    broken = "CASE "
+    for r in rules:
+        bounds = [f"{r.stat} < {r.low}"] * (r.low is not None) + [f"{r.stat} > {r.high}"] * (r.high is not None)
+        broken += f"WHEN n_words >= {r.min_words} AND ({' OR '.join(bounds)}) THEN '{r.stat}' "
+    broken += "END"
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    rate = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  len(regexp_extract_all(text, '[!?*#&$%|~^=+{{}}\[\]]')) AS marks, len(regexp_extract_all(text, '[0-9]')) AS digits, len(lines) AS n_lines,
+  len(list_filter(words, lambda w: lower(rtrim(w, '.,;:!?')) IN ({stops}))) AS stops FROM d LEFT JOIN repeated r USING (doc_id)),
+s AS (SELECT *, {rate("word_chars", "n_words")} AS mean_word_chars, {rate("n_symbols", "n_words")} AS symbols_per_word, {rate("marks", "n_words")} AS marks_per_word,
+  {rate("n_dup_lines", "n_lines")} AS dup_line_rate, {rate("stops", "n_words")} AS stop_word_rate, {rate("digits", "word_chars")} AS digit_rate FROM c),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {broken} AS failed_rule FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule, NOT base_failed AND failed_rule IS NULL AS kept FROM v
+"""

@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL, "op5_quality_rules": quality_rules.oracle_sql()}
