@@ -340,7 +340,7 @@ def diverse_buffer(rows: DataFrame, score: str, size: int = 100, similar: float
         cols = [pa.array([v] * n) for v in (k.as_py() for k in key)]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.int64()), pa.array(scores[:n]), pa.array(members, pa.int64())], names=[*keys, "centroid", "score", "members"])
 
-    def whole(key, table: pa.Table) -> pa.Table:
+    def whole(key, table):
         return pa.Table.from_batches(list(walk(key, table.sort_by("_o").to_batches(max_chunksize=10_000))))
 
     grouped = x.groupBy(*keys) if keys else x.groupBy(F.lit(1).alias("_g"))

@@ -86,10 +86,10 @@ def yield_auc_scaffold(spark, d):
     return runlog.yield_auc(position(run(spark, d).where("valid"), "idx"), "score", 0.8, 20_000, scaffold="scaffold").select(r6(F.col("value"), "value"))
 
 
-@query(f"""{WITH} SELECT idx, round(avg(score) OVER (ORDER BY idx ROWS 99 PRECEDING), 6) + 0.0 AS rolling_mean, round(max(score) OVER (ORDER BY idx), 6) + 0.0 AS running_max, round(min(score) OVER (ORDER BY idx), 6) + 0.0 AS running_min FROM occ""")
+@query(f"""{WITH} SELECT idx, round(avg(score) OVER (ORDER BY idx ROWS 99 PRECEDING), 12) + 0.0 AS rolling_mean, round(max(score) OVER (ORDER BY idx), 6) + 0.0 AS running_max, round(min(score) OVER (ORDER BY idx), 6) + 0.0 AS running_min FROM occ""")
 def trendlines(spark, d):
     t = runlog.trends(position(run(spark, d), "idx"), "score")
-    return t.select("idx", *[r6(F.col(c), c) for c in ("rolling_mean", "running_max", "running_min")])
+    return t.select("idx", (F.round("rolling_mean", 12) + 0.0).alias("rolling_mean"), *[r6(F.col(c), c) for c in ("running_max", "running_min")])
 
 
 @query(f"""{WITH} SELECT idx, scaffold, round(avg(score) OVER (PARTITION BY scaffold ORDER BY idx ROWS 9 PRECEDING), 9) + 0.0 AS rolling_mean, round(max(score) OVER (PARTITION BY scaffold ORDER BY idx), 6) + 0.0 AS running_max FROM occ""")
