@@ -97,3 +97,34 @@ def auto_aggregate(df: DataFrame, method: str, columns: Sequence[str], by: Seque
     else:
         score = F.exp(_sum(F.ln(c) * k for c, k in zip(x, w)) / F.when(total == 0, F.lit(float("nan"))).otherwise(total))
     return joined.withColumn(out, score).drop(*[f"_w_{i}" for i in range(len(columns))])
+
+
+def register(name: str, f) -> None:
+    """Offer another row-wise method, f(columns, weights) to a column, to objectives."""
+    if name in ROW or name in BATCH:
+        raise ObjectiveError(f"{name!r} is taken")
+    ROW[name] = f
+
+
+def ensemble(predictions: Column) -> Column:
+    """Mean of an array of models' predictions; missing ones don't count."""
+    own = F.filter(predictions, lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(own, F.lit(0.0), lambda s, x: s + x), F.size(own))
+
+
+def multi_target(predictions: Column, how: str = "mean", thresholds: Sequence[float] | None = None) -> Column:
+    """mean, median, max or min over targets' predictions, made 0 or 1 first if thresholds are given."""
+    x = predictions
+    if thresholds is not None:
+        limits = F.array(*[F.lit(float(t)) for t in thresholds])
+        x = F.zip_with(x, limits, lambda p, t: F.when(p >= t, 1.0).otherwise(0.0))
+    if how == "max":
+        return F.array_max(x)
+    if how == "min":
+        return F.array_min(x)
+    if how == "mean":
+        return ensemble(x)
+    if how != "median":
+        raise ObjectiveError("how is mean, median, max or min")
+    s, n = F.sort_array(x), F.size(x)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2

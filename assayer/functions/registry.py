@@ -124,6 +124,29 @@ def command_function(name: str, argv: Sequence[str], metrics: Sequence[str], tim
     return ScoringFunction(name, tuple(metrics), build, "arrow", default)
 
 
+def expand(df: DataFrame, key: str, make: Callable[[str], Sequence[dict]], fields: dict[str, str]) -> DataFrame:
+    """One to many: a row (key, variant, fields) for each variant that `make` gives for a distinct string.
+
+    A string that fails has no variants. `fields` maps names to Spark types.
+    """
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s in b.column(0).to_pylist():
+                try:
+                    rows += [(s, k, *[v.get(f) for f in fields]) for k, v in enumerate(make(s))]
+                except Exception:  # noqa: BLE001, S112 - a tool's failure is the candidate's, not the run's
+                    continue
+            cols = list(zip(*rows)) if rows else [()] * (2 + len(fields))
+            types = [pa.string(), pa.int32(), *[kinds[t] for t in fields.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "variant", *fields])
+
+    keys = df.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return keys.mapInArrow(run, f"`{key}` string, variant int, " + ", ".join(f"`{f}` {t}" for f, t in fields.items()))
+
+
 def best_variant(df: DataFrame, by: Sequence[str], score: str, order: str, default: float = 0.0) -> DataFrame:
     """Of each key's variants the one with the lowest score, with all its columns; ties go by `order`."""
     low = F.min_by(F.struct("*"), F.struct(F.coalesce(F.col(score), F.lit(float("inf"))), F.col(order))).alias("_best")
@@ -160,31 +183,15 @@ def _isomer() -> ScoringFunction:
     return ScoringFunction("Isomer", ("score",), lambda x, target=None: {"score": isomer_score(x, target)})
 
 
-def _structure_descriptors() -> ScoringFunction:
-    """Molecular weight and friends, if the chemistry toolkit is there."""
-    from rdkit import Chem
-    from rdkit.Chem import QED, Crippen, Descriptors, rdMolDescriptors
-
-    names = ("MolWt", "CLogP", "TPSA", "QED", "RingCount", "NumRotatableBonds", "HeavyAtomCount")
-
-    def build(**_):
-        def call(strings):
-            out = []
-            for s in strings:
-                mol = Chem.MolFromSmiles(s)
-                out.append({} if mol is None else dict(zip(names, (Descriptors.MolWt(mol), Crippen.MolLogP(mol), rdMolDescriptors.CalcTPSA(mol), QED.qed(mol), rdMolDescriptors.CalcNumRings(mol), rdMolDescriptors.CalcNumRotatableBonds(mol), mol.GetNumHeavyAtoms()))))
-            return out
-
-        return call
-
-    return ScoringFunction("StructureDescriptors", names, build, "arrow")
-
-
 for _name, _make in {
     "TextDescriptors": _text_descriptors,
     "LevenshteinSimilarity": _levenshtein,
     "PatternFilters": _patterns,
     "Isomer": _isomer,
-    "StructureDescriptors": _structure_descriptors,
 }.items():
     REGISTRY.optional(_name, _make)
+
+from assayer.functions import chemistry  # noqa: E402
+
+for _name, _make in chemistry.FUNCTIONS.items():
+    REGISTRY.optional(_name, _make)

@@ -137,18 +137,21 @@ def assign(ids: DataFrame, pairs: DataFrame, chosen: DataFrame, id: str = "idx",
     return rest.unionByName(own)
 
 
-def similarity_filter(run: DataFrame, score: str, candidate: str, words: str = "words", most: int = 25, least: float = 0.6, similar: float = 0.6, mode: str = "binary") -> DataFrame:
+def similarity_filter(run: DataFrame, score: str, candidate: str, words: str = "words", most: int = 25, least: float = 0.6, similar: float = 0.6, mode: str = "binary", founder: str | None = None) -> DataFrame:
     """The scaffold filter with leader clusters as buckets; rows below `least` take no part.
 
     A candidate founds a cluster if no earlier founder is at least so similar.
+    founder: what is compared instead of the candidate, such as its scaffold, which
+    `words` then belong to.
     """
+    founder = founder or candidate
     able = run.where(F.col(score) >= least)
-    firsts = able.groupBy(candidate).agg(F.min("idx").alias("idx"), F.min_by(words, "idx").alias(words))
+    firsts = able.groupBy(founder).agg(F.min("idx").alias("idx"), F.min_by(words, "idx").alias(words))
     firsts = cut(firsts)
     pairs = cut(near_pairs(firsts, similar, "idx", words))
     cluster = assign(firsts, pairs, leaders(firsts, pairs))
-    named = firsts.select(candidate, "idx").join(cluster.withColumnRenamed("id", "idx"), "idx").select(F.col(candidate).alias("_c"), F.col("leader").alias("cluster"))
-    rows = run.join(named, (F.col(candidate) == F.col("_c")) & (F.col(score) >= least), "left").drop("_c")
+    named = firsts.select(founder, "idx").join(cluster.withColumnRenamed("id", "idx"), "idx").select(F.col(founder).alias("_c"), F.col("leader").alias("cluster"))
+    rows = run.join(named, (F.col(founder) == F.col("_c")) & (F.col(score) >= least), "left").drop("_c")
     bucket = rows.withColumn("_bucket", F.coalesce(F.col("cluster"), F.lit(-1)))
     return scaffold_filter(bucket, score, "_bucket", candidate, most, least, mode).drop("_bucket")
 
@@ -300,53 +303,113 @@ def maxmin(rows: DataFrame, n: int, seed: int = 123, id: str = "idx", words: str
     return picked
 
 
-def diverse_buffer(rows: DataFrame, score: str, size: int = 100, similar: float = 0.35, order: str = "idx", words: str = "words", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, centroid, score, members): the best scores among rows that differ, kept in a buffer.
+class Buffer:
+    """The best scores among vectors that differ, in the order of arrival.
 
     The first `size` rows fill it. A later row below its lowest score is ignored;
     one like a centroid raises that centroid's score, if better, and joins it;
-    any other replaces the lowest. Each run is walked in order by one task, from
-    sorted batches, with `size` vectors in memory.
+    any other replaces the lowest.
+    """
+
+    def __init__(self, size: int, similar: float):
+        self.size, self.similar = size, similar
+        self.ids: list[int] = []
+        self.members: list[int] = []
+        self.scores, self.prints = np.zeros(size), None
+
+    def add(self, i: int, score: float, words: np.ndarray) -> None:
+        from assayer.operators.tiles import tanimoto
+
+        if self.prints is None:
+            self.prints = np.zeros((self.size, len(words)), np.uint64)
+        n = len(self.ids)
+        if n < self.size:
+            self.ids.append(i)
+            self.members.append(0)
+            self.scores[n], self.prints[n] = score, words
+        elif score >= self.scores.min():
+            near = tanimoto(words[None, :], self.prints)[0]
+            k = int(near.argmax())
+            if near[k] > self.similar:
+                self.scores[k] = max(self.scores[k], score)
+                self.members[k] += 1
+            else:
+                k = int(self.scores.argmin())
+                self.ids[k], self.scores[k], self.prints[k], self.members[k] = i, score, words, 0
+
+    def top(self, n: int) -> float:
+        own = np.sort(self.scores[: len(self.ids)])[::-1][:n]
+        return float(own.mean()) if len(own) else float("nan")
+
+
+def _walk(table: pa.Table, buffer: Buffer, each=None) -> None:
+    from assayer.operators.tiles import _packed
+
+    for b in table.sort_by("_o").to_batches(max_chunksize=10_000):
+        part = pa.Table.from_batches([b])
+        for o, s, w in zip(part.column("_o").to_pylist(), part.column("_s").to_pylist(), _packed(part)):
+            if each:
+                each(buffer)
+            buffer.add(o, s, w)
+
+
+def diverse_buffer(rows: DataFrame, score: str, size: int = 100, similar: float = 0.35, order: str = "idx", words: str = "words", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, centroid, score, members): the buffer after all rows, for each run of `keys`.
+
+    A run is walked in its order by one task: what a row does depends on all before it.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "centroid long, score double, members long"
     x = rows.select(*keys, F.col(order).cast("long").alias("_o"), F.col(score).cast("double").alias("_s"), F.col(words).alias("words"))
 
-    def walk(key, batches):
-        from assayer.operators.tiles import _packed, tanimoto
-
-        ids, scores, members = [], np.zeros(size), []
-        prints = None
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            packed = _packed(table)
-            prints = np.zeros((size, packed.shape[1]), np.uint64) if prints is None else prints
-            for o, s, w in zip(table.column("_o").to_pylist(), table.column("_s").to_pylist(), packed):
-                n = len(ids)
-                if n < size:
-                    ids.append(o)
-                    members.append(0)
-                    scores[n], prints[n] = s, w
-                elif s >= scores.min():
-                    sim = tanimoto(w[None, :], prints)[0]
-                    k = int(sim.argmax())
-                    if sim[k] > similar:
-                        scores[k] = max(scores[k], s)
-                        members[k] += 1
-                    else:
-                        k = int(scores.argmin())
-                        ids[k], scores[k], prints[k], members[k] = o, s, w, 0
-        n = len(ids)
-        cols = [pa.array([v] * n) for v in (k.as_py() for k in key)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.int64()), pa.array(scores[:n]), pa.array(members, pa.int64())], names=[*keys, "centroid", "score", "members"])
-
     def whole(key, table):
-        return pa.Table.from_batches(list(walk(key, table.sort_by("_o").to_batches(max_chunksize=10_000))))
+        buffer = Buffer(size, similar)
+        _walk(table, buffer)
+        n = len(buffer.ids)
+        own = {k: pa.array([v.as_py()] * n) for k, v in zip(keys, key)}
+        return pa.table({**own, "centroid": pa.array(buffer.ids, pa.int64()), "score": buffer.scores[:n], "members": pa.array(buffer.members, pa.int64())})
 
-    grouped = x.groupBy(*keys) if keys else x.groupBy(F.lit(1).alias("_g"))
     if keys:
-        return grouped.applyInArrow(whole, schema)
-    return grouped.applyInArrow(lambda table: whole((), table), schema)
+        return x.groupBy(*keys).applyInArrow(whole, schema)
+    return x.groupBy(F.lit(1).alias("_g")).applyInArrow(lambda table: whole((), table), schema)
+
+
+def diverse_top(rows: DataFrame, score: str, budget: int, top_n: Sequence[int] = (1, 10, 100), window: int = 100, extrapolate: bool = False, similar: float = 0.35, words: str = "words") -> DataFrame:
+    """(n, avg, auc): top-n averages of a buffer of max(n) after all rows, and the area under them over the budget.
+
+    `rows` have pos, dense from 1. For the area the buffer sees the rows below the budget only.
+    """
+    from assayer.operators.runlog import _area
+
+    x = rows.select(F.col("pos").cast("long").alias("_o"), F.col(score).cast("double").alias("_s"), F.col(words).alias("words"))
+    tops = sorted(set(top_n))
+
+    def trace(table):
+        total, values = table.num_rows, []
+        buffer, seen = Buffer(max(tops), similar), 0
+        marks = range(window, min(total, budget), window)
+
+        def mark(b, cp, before, last):
+            values.extend((n, cp, before, last, b.top(n)) for n in tops)
+
+        def each(b):
+            nonlocal seen
+            if seen and seen in marks:
+                mark(b, seen, seen - window, False)
+            if seen == budget:
+                mark(b, total, (len(marks)) * window, True)
+            seen += 1
+
+        _walk(table, buffer, each)
+        if seen <= budget:
+            mark(buffer, total, len(marks) * window, True)
+        values.extend((n, -1, 0, True, buffer.top(n)) for n in tops)
+        cols = list(zip(*values))
+        return pa.table({"n": pa.array(cols[0], pa.int32()), "cp": pa.array(cols[1], pa.int64()), "before": pa.array(cols[2], pa.int64()), "last": pa.array(cols[3]), "v": pa.array(cols[4], pa.float64())})
+
+    traced = cut(x.groupBy(F.lit(1).alias("_g")).applyInArrow(trace, "n int, cp long, before long, last boolean, v double"))
+    area = _area(traced.where("cp >= 0"), ["n"], budget, extrapolate).withColumnRenamed("value", "auc")
+    return traced.where("cp < 0").select("n", F.col("v").alias("avg")).join(area, "n")
 
 
 def solow_polasky(rows: DataFrame, words: str = "words", normalize: bool = True, k: int = 1000, seed: int = 123, id: str = "idx") -> float:

@@ -190,8 +190,11 @@ def replay_sample(buffer: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return buffer.orderBy(F.rand(seed)).limit(n)
 
 
-def pick(log: DataFrame, endpoint: str, n: int, how: str = "top", scaffold: str | None = None, window: tuple[int, int] | None = None, seed: int = 0) -> DataFrame:
-    """n rows of a log: top, random, or range (evenly spaced ranks); of a scaffold only its best row."""
+def pick(log: DataFrame, endpoint: str, n: int, how: str = "top", scaffold: str | None = None, window: tuple[int, int] | None = None, seed: int = 0, words: str = "words", like: Column | None = None) -> DataFrame:
+    """n rows of a log: top, random, range (evenly spaced ranks), diverse (farthest first) or similar (nearest to `like`, words).
+
+    Of a scaffold only its best row is taken.
+    """
     if window is not None:
         log = log.where(F.col("idx").between(*window))
     if scaffold:
@@ -201,8 +204,16 @@ def pick(log: DataFrame, endpoint: str, n: int, how: str = "top", scaffold: str
         return log.orderBy(F.desc(endpoint), "idx").limit(n)
     if how == "random":
         return log.orderBy(F.rand(seed)).limit(n)
+    if how == "diverse":
+        from assayer.operators.diversity import maxmin
+
+        return log.where(F.col("idx").isin(maxmin(log, n, seed or 123, "idx", words)))
+    if how == "similar":
+        from assayer.functions.similarity import bit_similarity
+
+        return log.withColumn("_s", bit_similarity(F.col(words), like)).orderBy(F.desc("_s"), "idx").limit(n).drop("_s")
     if how != "range":
-        raise ValueError("how is top, random or range")
+        raise ValueError("how is top, random, range, diverse or similar")
     total = log.count()
     if total <= n:
         return log
@@ -215,3 +226,32 @@ def pick(log: DataFrame, endpoint: str, n: int, how: str = "top", scaffold: str
 def cumulative_hits(log: DataFrame, endpoint: str, threshold: float) -> DataFrame:
     """`log` with `hits`, the number of rows so far at or above the threshold."""
     return running_sum(log, "pos", F.when(F.col(endpoint) >= threshold, 1).otherwise(0), "hits")
+
+
+def rolling_median(log: DataFrame, value: str, size: int = 100, keys: Sequence[str] = ()) -> DataFrame:
+    """`log` with the median of `value` over the last `size` rows by pos."""
+    out = rolling(log, "pos", {"_last": F.collect_list(value)}, size, keys).withColumn("_last", F.sort_array("_last"))  # `size` numbers
+    n = F.size("_last")
+    middle = (F.get("_last", F.floor((n - 1) / 2).cast("int")) + F.get("_last", F.floor(n / 2).cast("int"))) / 2
+    return out.withColumn("rolling_median", middle).drop("_last")
+
+
+def top_page(log: DataFrame, metrics: dict[str, bool], n: int, method: str = "amean", by: Sequence[str] = ()) -> DataFrame:
+    """The n best rows by several metrics, each scaled to [0, 1] over all rows (downwards if its flag is set) and aggregated.
+
+    The extrema are one aggregate; of each group of `by`, if given.
+    """
+    from assayer.functions.aggregators import aggregate
+    from assayer.functions.transforms import norm
+
+    ends = log.groupBy(*by).agg(*[f(m).alias(f"_{m}_{k}") for m in metrics for k, f in (("lo", F.min), ("hi", F.max))])
+    rows = log.join(ends, list(by)) if by else log.crossJoin(F.broadcast(ends))  # one row
+    scaled = [norm(F.col(m), "minimize" if down else "maximize", min=F.col(f"_{m}_lo"), max=F.col(f"_{m}_hi")) for m, down in metrics.items()]
+    rows = rows.withColumns({f"norm_{m}": c for m, c in zip(metrics, scaled)})
+    rows = rows.withColumn("page_score", aggregate(method, [F.col(f"norm_{m}") for m in metrics], [1.0] * len(metrics))).drop(*[c for c in ends.columns if c not in by])
+    return rows.orderBy(F.desc("page_score"), "idx").limit(n)
+
+
+def first_rows(log: DataFrame, keys: Sequence[str], order: str = "idx") -> DataFrame:
+    """The first row of each key: where a structure's file is looked up."""
+    return log.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")

@@ -28,6 +28,15 @@ def top_bundle(scores: DataFrame, endpoint: str, budget: int, top_n: Sequence[in
     return _union([_rows(runlog.top_n_avg(scores, endpoint, top_n), label("Avg")), _rows(runlog.top_n_auc(scores, endpoint, budget, top_n), label("AUC"))])
 
 
+def diverse_bundle(scores: DataFrame, endpoint: str, budget: int, top_n: Sequence[int] = TOP, words: str = "words", prefix: str = "") -> DataFrame:
+    """The same over a buffer of rows that differ."""
+    from assayer.operators.diversity import diverse_top
+
+    got = diverse_top(scores, endpoint, budget, top_n, words=words)
+    label = lambda what: F.concat(F.lit(f"{prefix}Top-"), F.col("n").cast("string"), F.lit(f" {what} (Div) {endpoint}"))
+    return _union([_rows(got.withColumn("value", F.col(c)), label(what)) for c, what in (("avg", "Avg"), ("auc", "AUC"))])
+
+
 def mean_of_tops(scores: DataFrame, endpoint: str, top_n: Sequence[int] = TOP, name: str = "Mean of tops") -> DataFrame:
     """The mean of several top-n averages: what task suites score a goal by."""
     return _rows(runlog.top_n_avg(scores, endpoint, top_n).agg(F.avg("value").alias("value")), name)

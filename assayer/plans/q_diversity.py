@@ -216,3 +216,34 @@ def vector_words(spark, d):
 
 
 query("SELECT vec_id AS id, CAST(CASE WHEN w >= 9223372036854775808 THEN w - 18446744073709551616 ELSE w END AS BIGINT) AS word, CAST(n AS BIGINT) AS bits FROM (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (2::HUGEINT) ** i ELSE 0 END))::HUGEINT AS w, len(list_filter(embedding, lambda v: v > 0)) AS n FROM embeddings)".replace("(2::HUGEINT) ** i", "(1::HUGEINT << i)"))(vector_words)
+
+
+@query()
+def scaffold_similarity_filter(spark, d):
+    """The similarity filter with scaffolds as founders: repeats are those of the candidate."""
+    v = _vectors(spark, d).withColumns({"scaffold": F.col("words")[0].cast("string"), "smiles": (F.col("idx") % 300).cast("string")})
+    f = diversity.similarity_filter(v, "score", "smiles", "words", most=3, least=0.3, similar=0.42, mode="linear", founder="scaffold")
+    return f.select("idx", "cluster", "recorded", r6(F.col("filtered"), "filtered"))
+
+
+@query()
+def diverse_tops(spark, d):
+    from assayer.operators.order import position
+
+    got = diversity.diverse_top(position(_vectors(spark, d), "idx"), "score", 400, (1, 10, 25))
+    return got.select("n", r6(F.col("avg"), "avg"), r6(F.col("auc"), "auc"))
+
+
+@query()
+def pick_diverse(spark, d):
+    from assayer.operators.runlog import pick
+
+    return pick(_vectors(spark, d), "score", 12, "diverse").select("idx")
+
+
+@query("SELECT p_name AS k, CAST(v AS INT) AS variant, p_name || '/' || v AS name, length(p_name)::DOUBLE + v AS energy FROM (SELECT DISTINCT p_name FROM part), range(3) t(v)")
+def variants_expanded(spark, d):
+    from assayer.functions.registry import expand
+
+    p = table(spark, d, "part").select(F.col("p_name").alias("k"))
+    return expand(p, "k", lambda s: [{"name": f"{s}/{v}", "energy": float(len(s) + v)} for v in range(3)], {"name": "string", "energy": "double"})

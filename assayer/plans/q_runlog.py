@@ -219,3 +219,33 @@ def _run_metrics_sql():
 
 
 query(_run_metrics_sql())(run_metrics)
+
+
+@query(f"""{WITH} SELECT idx, round(median(score) OVER (ORDER BY idx ROWS 99 PRECEDING), 6) + 0.0 AS rolling_median FROM run""")
+def rolling_median(spark, d):
+    m = runlog.rolling_median(position(run(spark, d), "idx"), "score")
+    return m.select("idx", r6(F.col("rolling_median"), "rolling_median"))
+
+
+@query(f"""{WITH}, e AS (SELECT min(score) AS a, max(score) AS b, min(scaffold) AS c, max(scaffold) AS f FROM run), s AS (SELECT idx, ((score - a) / (b - a) + (scaffold - f) / (c - f)::DOUBLE) / 2 AS s FROM run, e)
+SELECT idx, round(s, 6) + 0.0 AS page_score FROM s ORDER BY s.s DESC, idx LIMIT 50""")
+def top_page(spark, d):
+    p = runlog.top_page(run(spark, d), {"score": False, "scaffold": True}, 50)
+    return p.select("idx", r6(F.col("page_score"), "page_score"))
+
+
+@query(f"{WITH} SELECT idx, mol_id, step FROM (SELECT *, row_number() OVER (PARTITION BY scaffold, valid ORDER BY idx) AS k FROM run) WHERE k = 1")
+def structure_lookup(spark, d):
+    return runlog.first_rows(run(spark, d), ["scaffold", "valid"]).select("idx", "mol_id", "step")
+
+
+@query("""WITH p AS (SELECT p_partkey, [p_size / 50.0::DOUBLE, (p_partkey % 7) / 7.0::DOUBLE, (p_partkey % 4) / 4.0::DOUBLE] AS x FROM part)
+SELECT p_partkey, round(list_avg(x), 6) + 0.0 AS mean, round(list_median(x), 6) + 0.0 AS median, round(list_max(x), 6) + 0.0 AS best, round(((x[1] >= 0.5)::INT + (x[2] >= 0.5)::INT + (x[3] >= 0.25)::INT) / 3.0::DOUBLE, 6) + 0.0 AS hits FROM p""")
+def model_predictions(spark, d):
+    """Several models' predictions for a candidate, as an ensemble and as targets."""
+    from assayer.functions.aggregators import ensemble, multi_target
+
+    x = F.array(F.col("p_size") / 50.0, (F.col("p_partkey") % 7) / 7.0, (F.col("p_partkey") % 4) / 4.0)
+    p = table(spark, d, "part").select("p_partkey", x.alias("x"))
+    x = F.col("x")
+    return p.select("p_partkey", r6(ensemble(x), "mean"), r6(multi_target(x, "median"), "median"), r6(multi_target(x, "max"), "best"), r6(multi_target(x, "mean", (0.5, 0.5, 0.25)), "hits"))

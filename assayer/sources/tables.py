@@ -77,6 +77,23 @@ def read_rules(spark: SparkSession, path: str, sets: Sequence[str] = ()) -> Data
     return df.where(F.col("rule_set").isin(list(sets))) if sets else df
 
 
+def read_structures(spark: SparkSession, path: str, parse) -> DataFrame:
+    """(path, smiles) of structure files (mol, sdf, pdb and the like), by a parser from bytes and file name to a string."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            names = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(c.as_py(), n) for n, c in zip(names, b.column(1))], pa.string())], names=["path", "smiles"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, smiles string")
+
+
+def write_buffer(buffer: DataFrame, path: str) -> None:
+    """A replay buffer as CSV."""
+    buffer.write.mode("overwrite").csv(path, header=True)
+
+
 def write_memory(memory: DataFrame, path: str) -> None:
     """A diversity filter's memory as CSV and JSON lines."""
     memory.write.mode("overwrite").csv(f"{path}/csv", header=True)

@@ -178,3 +178,37 @@ def test_best_variant(spark):
     df = spark.createDataFrame([("m", 1, -5.0), ("m", 2, -7.0), ("m", 3, -7.0), ("n", 1, None)], "mol string, v int, score double")
     got = {r.mol: (r.v, r.score) for r in R.best_variant(df, ["mol"], "score", "v").collect()}
     assert got == {"m": (2, -7.0), "n": (1, 0.0)}
+
+
+def test_expand_and_failures(spark):
+    def make(s):
+        if s == "bad":
+            raise ValueError
+        return [{"name": s * 2, "e": 1.5}, {"name": s}]
+
+    df = spark.createDataFrame([("a",), ("a",), ("bad",), (None,)], "k string")
+    got = sorted(tuple(r) for r in R.expand(df, "k", make, {"name": "string", "e": "double"}).collect())
+    assert got == [("a", 0, "aa", 1.5), ("a", 1, "a", None)]
+
+
+def test_structure_functions_need_their_toolkit():
+    try:
+        import rdkit  # noqa: F401
+    except ImportError:
+        assert "StructureDescriptors" in R.REGISTRY.missing and "rdkit" in R.REGISTRY.missing["StructureDescriptors"]
+        from assayer.functions import chemistry
+
+        with pytest.raises(ImportError):
+            chemistry.producers()
+
+
+def test_model_aggregates_and_own_methods(spark):
+    df = spark.createDataFrame([([0.2, None, 0.8, 0.6],)], "x array<double>")
+    assert df.select(A.ensemble(F.col("x"))).first()[0] == pytest.approx(1.6 / 3)
+    with pytest.raises(T.ObjectiveError):
+        A.multi_target(F.col("x"), "mode")
+    A.register("smallest", lambda x, w: F.least(*x))
+    assert spark.range(1).select(A.aggregate("smallest", [F.lit(0.3), F.lit(0.2)], [1, 1])).first()[0] == 0.2
+    with pytest.raises(T.ObjectiveError):
+        A.register("smallest", None)
+    del A.ROW["smallest"]

@@ -142,6 +142,9 @@ def test_replay_and_picks(spark):
     assert sorted(ids(runlog.pick(df, "s", 2, scaffold="sc"))) == [1, 2]
     assert sorted(ids(runlog.pick(df, "s", 3, "range"))) == [0, 1, 3] and len(ids(runlog.pick(df, "s", 2, "random"))) == 2
     assert len(ids(runlog.replay_sample(df, 3))) == 3
+    near = df.withColumn("words", F.array(F.col("idx")))
+    assert len(ids(runlog.pick(near, "s", 3, "diverse"))) == 3
+    assert ids(runlog.pick(near, "s", 1, "similar", like=F.array(F.lit(3).cast("long")))) == [3]
     with pytest.raises(ValueError):
         runlog.pick(df, "s", 1, "odd")
 
@@ -361,6 +364,49 @@ def test_diverse_buffer_is_the_walk(spark):
     assert diversity.diverse_buffer(by, "score", 12, 0.35, keys=["run"]).count() == 24
 
 
+@pytest.mark.parametrize("n, budget, extrapolate", [(230, 1000, True), (230, 150, False), (200, 200, False), (40, 100, True)])
+def test_diverse_top(spark, n, budget, extrapolate):
+    rng = random.Random(n)
+    vs, scores = vectors(n, 3), [round(rng.random(), 3) for _ in range(n)]
+
+    def top(rows, k):
+        kept, prints = [], []
+        for v, s in rows:
+            if len(kept) < 12:
+                kept.append(s), prints.append(v)
+            elif s >= min(kept):
+                near = [sim(v, p) for p in prints]
+                i = near.index(max(near))
+                if near[i] > 0.35:
+                    kept[i] = max(kept[i], s)
+                else:
+                    i = kept.index(min(kept))
+                    kept[i], prints[i] = s, v
+        best = sorted(kept, reverse=True)[:k]
+        return sum(best) / len(best)
+
+    rows = list(zip(vs, scores))
+    df = frame(spark, vs, scores).withColumn("pos", F.col("idx") + 1)
+    got = {r.n: r for r in diversity.diverse_top(df, "score", budget, (1, 12), 50, extrapolate).collect()}
+    for k in (1, 12):
+        total, prev, called = 0.0, 0.0, 0
+        for at in range(50, min(n, budget), 50):
+            now = top(rows[:at], k)
+            total, prev, called = total + 50 * (now + prev) / 2, now, at
+        now = top(rows[:budget], k)
+        total += (n - called) * (now + prev) / 2 + (max(0, budget - n) * now if extrapolate else 0)
+        assert got[k].auc == pytest.approx(total / budget) and got[k].avg == pytest.approx(top(rows, k))
+
+
+def test_scaffold_founders(spark):
+    rows = [(0, "a", "s1", 1, 0.9), (1, "b", "s1", 1, 0.9), (2, "a", "s2", 3, 0.9), (3, "c", "s3", 1 << 40, 0.9), (4, "a", "s1", 1, 0.9), (5, "d", "s1", 1, 0.1)]
+    df = spark.createDataFrame([(i, c, s, [w], x) for i, c, s, w, x in rows], "idx long, smiles string, scaffold string, words array<long>, score double")
+    got = diversity.similarity_filter(df, "score", "smiles", "words", 2, 0.5, 0.5, founder="scaffold").orderBy("idx").collect()
+    # s2 joins s1, so its a is a repeat; s3 is a cluster of its own; the last row takes no part
+    assert [r.cluster for r in got] == [0, 0, 0, 3, 0, None]
+    assert [r.filtered for r in got] == [0.9, 0.9, 0.0, 0.9, 0.0, 0.1]
+
+
 def test_maxmin_and_solow_polasky(spark):
     vs = vectors(60, 8)
     df = frame(spark, vs)

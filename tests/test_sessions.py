@@ -190,6 +190,10 @@ def test_tables(spark, tmp_path):
     (tmp_path / "r.csv").write_text("rule_id,pattern,max,description,rule_set\n1,a,0,x,s\n2,,0,y,s\n3,b,1,z,q\n")
     assert [r.rule_id for r in tables.read_rules(spark, f"{tmp_path}/r.csv", ["s"]).collect()] == [1]
     tables.write_memory(log, f"{tmp_path}/mem")
+    tables.write_buffer(log, f"{tmp_path}/buffer")
+    (tmp_path / "x.mol").write_text("name\nrest")
+    got = tables.read_structures(spark, f"{tmp_path}/x.mol", lambda content, name: content.decode().split("\n")[0]).first()
+    assert got.smiles == "name" and got.path.endswith("x.mol")
     assert spark.read.json(f"{tmp_path}/mem/json").count() == 2
     runs = log.withColumn("run", F.lit("a"))
     assert tables.drop_run(tables.rename_run(runs, "a", "b"), "b").count() == 0 and tables.new_rows(log, 0).count() == 1
