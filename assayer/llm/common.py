@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words, as the six ASCII characters.
-BLANKS = " \t\n\x0b\x0c\r"
+#: Keys that are broadcast at most, about 16 MB.
+BROADCAST_KEYS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(rows: DataFrame, on: Column, keys: DataFrame) -> DataFrame:
+    """`rows` that match none of `keys`, which is read more than once.
+
+    Up to BROADCAST_KEYS keys (numbers) are broadcast, so that whole texts need no
+    shuffle; beyond that both sides are shuffled.
+    """
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_anti")
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python process it is asked in."""
     return sys.__dict__.setdefault("_assayer_worker_cache", {})

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut
+from assayer.llm.common import cut, without
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -237,4 +237,4 @@ def leaky_removed(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     """
     bad = cut(find_leaks(docs, benchmark, overlap).select(F.col("doc_id").alias("key")).distinct())
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return whole.join(bad, F.col("id").eqNullSafe(F.col("key")), "left_anti").select("row.*")
+    return without(whole, F.col("id").eqNullSafe(F.col("key")), bad).select("row.*")

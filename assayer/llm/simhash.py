@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import connected_components, cut
+from assayer.llm.common import connected_components, cut, without
 
 SEED = 42
 #: Distinct fingerprints that fit the tree, at most.
@@ -269,9 +269,9 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) ->
     that stays, one is kept. Rows without a doc_id can't be told apart and stay.
     """
     labels = cut(simhash_components(docs, radius, size).select("doc_id", "component_id"))
-    copies = labels.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    copies = cut(labels.where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    kept = whole.join(copies, "key", "left_anti")
+    kept = without(whole, F.col("key") == F.col("copy"), copies)
     repeated = labels.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key")
     if not repeated.isEmpty():
         one = Window.partitionBy("key").orderBy(F.col("row.text"))
