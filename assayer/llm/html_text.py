@@ -40,7 +40,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select button textarea input map".split())
-ASIDE = frozenset("nav footer aside form menu dialog header".split())
+ASIDE = frozenset("nav footer aside form menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 LANDMARKS = frozenset(("article", "main"))
 CONTAINERS = frozenset(("article", "main", "div", "section", "body", "html", "td", "blockquote", "center"))
@@ -49,16 +49,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table body html div article main section".split())
 
-#: Words in a class or id that declare something other than the article.
+#: Parts of a class or id that declare something other than the article.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|submenu|breadcrumbs?|masthead|(?:site|page|top)[_-]?header|header|footer|footnav|bottom[_-]?bar|sidebar|side[_-]?bar|aside|rail|"
-    r"ads?|adbox|adslot|adsense|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|"
+    r"(?:^|[_-])(?:nav|navbar|navigation|menu|submenu|breadcrumbs?|masthead|footer|footnav|bottom[_-]?bar|sidebar|side[_-]?bar|aside|rail|"
+    r"ads?|adbox|adslot|adsense|adsbygoogle|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|taboola|outbrain|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|disclaimer|newsletter|subscribe|subscription|paywall|"
     r"comments?|commentlist|comment-list|respond|disqus|replies|reply|share|sharing|social|follow|related|recommended|recommendations|more-stories|trending|popular|"
-    r"widget|widgets|toolbar|pagination|pager|login|signup|sign-up|register|search|searchbox|form|copyright|legal|skip-link|tags|tagcloud)(?:$|[\s_-])",
+    r"widget|widgets|toolbar|pagination|pager|login|signup|sign-up|register|search|searchbox|form|copyright|legal|skip-link|tagcloud)(?:$|[_-])",
     re.I,
 )
-_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[\s_-])", re.I)
+_HEADER_NAMES = re.compile(r"(?:^|[_-])header(?:$|[_-])", re.I)
+_OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[_-]?header", re.I)
+#: Parts that describe an element by what is around it, or by its state.
+_STATES = re.compile(r"^(?:has|no|with|without|is|show|hide)[_-]|[_-](?:enabled|disabled|active|open|closed|visible|allowed)$", re.I)
+_COMMENT_NAMES = re.compile(r"(?:^|[_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -94,13 +98,19 @@ class Blocks(HTMLParser):
                 self.links -= 1
             self.at = self.at.parent
 
-    def _declares_aside(self, tag: str, attrs: dict) -> bool:
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        if tag in LANDMARKS or tag in ("html", "body"):
-            return tag not in ("html", "body") and bool(_COMMENT_NAMES.search(names))
-        if tag in ASIDE or (attrs.get("role") or "").lower() in ASIDE_ROLES:
+    @staticmethod
+    def _names(attrs: dict) -> list[str]:
+        return [n for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split() if not _STATES.search(n)]
+
+    def _declares_aside(self, tag: str, attrs: dict, names: list[str]) -> bool:
+        if tag in ("html", "body"):
+            return False
+        comment = (attrs.get("itemprop") or "").lower() == "comment" or (attrs.get("itemtype") or "").lower().endswith("comment")
+        if tag in LANDMARKS:
+            return comment or any(map(_COMMENT_NAMES.search, names))
+        if comment or tag in ASIDE or (attrs.get("role") or "").lower() in ASIDE_ROLES or any(k == "data-ad" or k.startswith("data-ad-") for k in attrs):
             return True
-        return tag not in HEADINGS and bool(names.strip() and _NAMES.search(names))
+        return tag not in HEADINGS and any(map(_NAMES.search, names))
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -124,9 +134,12 @@ class Blocks(HTMLParser):
         attrs = dict(attrs)
         up = self.at
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style") or ""))
+        names = self._names(attrs)
+        header = tag == "header" or (tag in BLOCK and tag not in HEADINGS and any(map(_HEADER_NAMES.search, names)))
         # the headings of an article's own header are part of it
-        inner = tag == "header" and not up.aside and self._inside_landmark()
-        aside = up.aside or hidden or (not inner and self._declares_aside(tag, attrs))
+        inner = header and not up.aside and (self._inside_landmark() or any(map(_OWN_HEADER.search, names)))
+        declared = header or self._declares_aside(tag, attrs, names)
+        aside = up.aside or hidden or (declared and not inner and tag not in ("html", "body"))
         self.at = _Element(tag, up, aside, up.silent or tag in SILENT, (up.head or inner))
         self.links += tag == "a"
 

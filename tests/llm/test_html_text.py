@@ -21,6 +21,48 @@ def test_clusters_find_the_article_without_landmarks():
     assert got[0].startswith("Long text") and got[1:] == ["Short.", "Another long paragraph of the story with many words that are dense in text."]
 
 
+STORY = "The story is told here in a good number of words, as stories are, so that it is dense."
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        '<div class="comments"><p>X, said a reader.</p></div>',
+        '<section id="comment-list"><p>X</p></section>',
+        '<article class="comment"><p>X</p></article>',
+        '<article itemprop="comment"><p>X</p></article>',
+        '<div class="side-bar left"><p>X</p></div>',
+        "<aside><p>X</p></aside>",
+        '<form action="/s"><p>X</p><select><option>X</select></form>',
+        '<div role="alert">X</div>',
+        '<div id="cookie-banner">X</div>',
+        '<div class="ad">X</div>',
+        '<ins class="adsbygoogle">X</ins>',
+        '<div data-ad-slot="1">X</div>',
+        '<div class="newsletter-form">X</div>',
+        '<div style="display: none">X</div>',
+        "<noscript>X</noscript>",
+        "<template><p>X</p></template>",
+        "<header><p>X</p></header>",
+        '<div class="article-footer">X</div>',
+        "<!-- X -->",
+        "<style>X</style>",
+        "<button>X</button>",
+    ],
+)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<body><article>{}</article></body>", '<div class="content no-sidebar"><div class="post with-comments">{}</div></div>'])
+def test_what_is_left_out(frame, other):
+    page = frame.format(f"<h1>Title</h1><p>{STORY}</p>{other}<p>Short.</p><p>{STORY}</p>")
+    assert main_text(page) == f"Title\n{STORY}\nShort.\n{STORY}"
+
+
+def test_own_headers_keep_their_headings():
+    for head in ("<header><h1>Title</h1><p>By me</p></header>", '<div class="entry-header"><h1>Title</h1><span>By me</span></div>'):
+        assert main_text(f"<article>{head}<p>{STORY}</p></article>") == f"Title\n{STORY}"
+    assert main_text(f'<div><div class="post-header"><h1>Title</h1></div><p>{STORY}</p></div>') == f"Title\n{STORY}"
+    assert main_text(f'<div class="site-header"><h1>Site</h1></div><article><p>{STORY}</p></article>') == STORY
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
