@@ -238,3 +238,30 @@ def leaky_removed(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     bad = cut(find_leaks(docs, benchmark, overlap).select(F.col("doc_id").alias("key")).distinct())
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     return without(whole, F.col("id").eqNullSafe(F.col("key")), bad).select("row.*")
+
+
+def oracle_sql(overlap: float = OVERLAP) -> str:
+    """DuckDB SQL for `find_leaks`, scores rounded to six places: every window against every item of its class."""
+    n = SHINGLE
+    width = f"CASE {' '.join(f'WHEN len(q) + len(a) <= {c} THEN {c}' for c in CLASSES)} ELSE {CLASSES[-1]} * pow(2, ceil(log2((len(q) + len(a)) / {CLASSES[-1]}.0)))::BIGINT END"
+    shingled = lambda x: f"list_distinct(list_transform(range(1, len({x}) - least({n}, len({x})) + 2), lambda i: array_to_string({x}[i:i + least({n}, len({x})) - 1], ' ')))"
+    held = lambda x: f"list_transform(range(1, len(w) - least({n}, len({x})) + 2), lambda i: array_to_string(w[i:i + least({n}, len({x})) - 1], ' '))"
+    share = lambda x, s: f"CASE WHEN len({x}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({s}, {held(x)}))::DOUBLE / len({s}) END"
+    may_miss = lambda s: f"floor((1 - {overlap}::DOUBLE) * len({s}) + 1e-9)::INT"
+    return rf"""
+WITH sentence AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+')), lambda x: len(x) > 0) AS s FROM benchmark),
+part AS (SELECT item_id, CASE WHEN len(s) < 2 THEN flatten(s) ELSE flatten(s[1:len(s) - 1]) END AS q, CASE WHEN len(s) < 2 THEN [] ELSE s[len(s)] END AS a FROM sentence WHERE len(s) > 0),
+item AS (SELECT item_id, q, a, {width} AS width, {shingled("q")} AS qs, {shingled("a")} AS ans FROM part),
+term AS (SELECT item_id, width, t, count(*) AS tf FROM (SELECT item_id, width, unnest(q || a) AS t FROM item) GROUP BY ALL),
+stat AS (SELECT width, count(*) AS items, avg(len(q) + len(a)) AS mean FROM item GROUP BY width), df AS (SELECT width, t, count(*) AS df FROM term GROUP BY ALL),
+impact AS (SELECT item_id, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * (len(q) + len(a)) / mean)) AS x FROM term JOIN df USING (width, t) JOIN stat USING (width) JOIN item USING (item_id)),
+bound AS (SELECT item_id, list(t) AS ts, list(x) AS xs, list_sum(list(x)) - coalesce(list_sum((list(x ORDER BY x DESC))[1:any_value({may_miss("qs")} + {may_miss("ans")})]), 0) AS least FROM impact JOIN item USING (item_id) GROUP BY item_id),
+doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE text <> ''),
+win AS (SELECT doc_id, r, width, w[lo + 1:lo + 2 * width] AS w FROM (SELECT doc_id, r, width, w, unnest(range(0, greatest(1, len(w) - width), width)) AS lo FROM doc, (SELECT DISTINCT width FROM item))),
+near AS (SELECT doc_id, r, item_id, w, q, a, qs, ans FROM win JOIN item USING (width) WHERE list_has_any(w, q)),
+judged AS (SELECT doc_id, r, item_id, w, {share("q", "qs")} AS question, {share("a", "ans")} AS answer FROM near),
+good AS (SELECT * FROM judged WHERE question >= {overlap}::DOUBLE - 1e-9 AND answer >= {overlap}::DOUBLE - 1e-9),
+scored AS (SELECT doc_id, r, item_id, question, answer, list_sum(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN list_contains(w, ts[i]) THEN xs[i] ELSE 0 END)) / greatest(least, 1e-9) AS score FROM good JOIN bound USING (item_id)),
+best AS (SELECT doc_id, r, item_id, max((score, question, answer)) AS m FROM scored GROUP BY ALL)
+SELECT doc_id, item_id, round(m[1], 6) AS score, m[2] AS question_overlap, m[3] AS answer_overlap FROM best
+"""

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import quality_rules, url_filter
+from assayer.llm import decontaminate, quality_rules, secrets, url_filter
 from assayer.llm.common import read
-from assayer.llm.decontaminate import find_leaks
 from assayer.llm.html_text import extract_pages
 from assayer.llm.langid import identify
 from assayer.llm.mixing import mix_order
 from assayer.llm.quality_model import score_quality
-from assayer.llm.secrets import secret_report
 from assayer.llm.simhash import simhash_components
 from assayer.llm.tokens import count_tokens
 
@@ -27,7 +26,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return leaks.withColumn("score", F.round("score", 6))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_report(read(spark, sf_dir, "documents"))
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": url_filter.ORACLE_SQL, "op5_quality_rules": quality_rules.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": url_filter.ORACLE_SQL,
+    "op3_benchmark_decontamination": decontaminate.oracle_sql(),
+    "op5_quality_rules": quality_rules.oracle_sql(),
+    "op6_secret_scans": secrets.oracle_sql(),
+}

@@ -266,3 +266,50 @@ def secrets_masked(docs: DataFrame, rate: float = 0.05, mask: str = "[SECRET]")
         else:
             out.append(old.alias(c))
     return s.select(*out)
+
+
+def oracle_sql(rate: float = 0.05) -> str:
+    """DuckDB SQL for `secret_report` over `documents` with unique doc_ids.
+
+    Offsets are running sums over what a split by each pattern leaves. The battery's
+    tokens, which the main path finds by looking around them, are whole runs of
+    encoding characters here.
+    """
+
+    def found(name: str, pattern: str) -> str:
+        p = pattern.replace("'", "''")
+        return rf"""{name}_m AS (SELECT doc_id, unnest(f) AS found, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, regexp_split_to_array(text, '{p}') AS g FROM d)),
+{name} AS (SELECT doc_id, found, (sum(length(gap)) OVER w + sum(length(found)) OVER w - length(found))::BIGINT AS s, (sum(length(gap)) OVER w + sum(length(found)) OVER w)::BIGINT AS e FROM {name}_m WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+    parts = [found(k, p) for k, (p, _, _) in BASE.items()] + [found("run", "[A-Za-z0-9+/_=-]+")]
+    assign = BASE["assign"][0].replace("'", "''")
+    needs = {"hex": ("[0-9]", "[a-f]"), "HEX": ("[0-9]", "[A-F]"), "base32": ("[2-7]", "[A-Z]"), "alnum36": ("[0-9]", "[a-z]"), "ALNUM36": ("[0-9]", "[A-Z]")}
+    every = ("[0-9]", "[a-z]", "[A-Z]")
+    whole = {e.name: "^" + e.pattern.rpartition(")")[2] for e in ENCODINGS}
+    test = lambda e: " AND ".join(f"regexp_matches(found, '{p}')" for p in (*needs.get(e.name, every), whole[e.name]))
+    case = lambda value: "CASE " + " ".join(f"WHEN {test(e)} THEN {value(e)}" for e in ENCODINGS) + " END"
+    tail = "0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2)"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)},
+base AS (SELECT doc_id, s, 0 AS o, 'assign' AS kind, e FROM assign WHERE length(regexp_extract(found, '{assign}', 2)) >= 6
+  UNION ALL SELECT doc_id, s, 1, 'access', e FROM access UNION ALL SELECT doc_id, s, 2, 'hex', e FROM hex),
+token AS (SELECT doc_id, s, e, found, {case(lambda e: f"'{e.name}'")} AS enc, {case(lambda e: f"'{e.alphabet}'")} AS alphabet FROM run WHERE regexp_matches(found, '^[A-Za-z0-9+/_-]{{20,}}={{0,2}}$')),
+coded AS (SELECT doc_id, s, e, enc || ':' || CASE WHEN length(found) < 28 THEN 0 WHEN length(found) < 40 THEN 1 WHEN length(found) < 56 THEN 2 WHEN length(found) < 80 THEN 3 ELSE 4 END AS stratum, length(alphabet)::DOUBLE AS k,
+  list_transform(string_split(translate(regexp_replace(found, '=+$', ''), '-_', '+/'), ''), lambda c: (instr(alphabet, c) - 1)::DOUBLE) AS v FROM token WHERE enc IS NOT NULL),
+moment AS (SELECT *, len(v)::DOUBLE AS n, list_sum(v) / len(v) AS mean, list_sum(list_transform(v, lambda x: x * x)) AS square FROM coded),
+sums AS (SELECT *, coalesce(list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))), 0) AS lagged,
+  len(list_filter(range(1, len(v)), lambda i: (v[i] < k / 2) <> (v[i + 1] < k / 2))) AS changes, list_sum(list_transform(list_distinct(v), lambda c: len(list_filter(v, lambda x: x = c)) ** 2)) AS squares FROM moment),
+zs AS (SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z1, abs((changes - (n - 1) / 2) / sqrt((n - 1) / 4)) AS z2,
+  CASE WHEN square - n * mean * mean > 1e-9 THEN abs(lagged / (square - n * mean * mean) * sqrt(n)) ELSE 40 END AS z3 FROM sums),
+tails AS (SELECT doc_id, s, e, stratum, list_transform([z1, z2, z3], lambda y: [y, abs(y), 1 / (1 + 0.3275911 * abs(y) / sqrt(2))]) AS q FROM zs),
+ps AS (SELECT doc_id, s, e, stratum, list_transform(q, lambda y: [y[1], {tail.replace("z * z", "y[2] * y[2]").replace("t *", "y[3] *")}]) AS q FROM tails),
+binned AS (SELECT doc_id, s, e, stratum, least(floor((1 - pow(1 - least(1, CASE WHEN q[1][1] >= 0 THEN q[1][2] ELSE 1 - q[1][2] END, 2 * q[2][2], 2 * q[3][2]), 3)) * {BINS}), {BINS - 1})::INT AS bin FROM ps),
+hist AS (SELECT g.stratum, g.b AS bin, count(x.bin) AS n FROM (SELECT DISTINCT stratum, b FROM binned, range({BINS}) r(b)) g LEFT JOIN binned x ON x.stratum = g.stratum AND x.bin = g.b GROUP BY ALL),
+above AS (SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS a, 2.0 * sum(n) FILTER (bin >= {BINS // 2}) OVER (PARTITION BY stratum) AS r FROM hist),
+least_bin AS (SELECT stratum, coalesce(min(bin) FILTER (a - r * ({BINS} - bin) / {BINS} <= {rate} * a), {BINS // 2}) AS least FROM above WHERE r > 0 GROUP BY stratum),
+random AS (SELECT doc_id, s, 3 AS o, 'random' AS kind, e FROM binned b JOIN least_bin USING (stratum) WHERE bin >= least AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.s < b.e AND b.s < x.e)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM random),
+joined AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, count(*) AS n,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0)::INT AS n_spans FROM d LEFT JOIN joined USING (doc_id)
+"""

@@ -94,3 +94,28 @@ def test_shards_give_the_same(spark, docs, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in D.find_leaks(docs(texts), bench).collect()}
     monkeypatch.setattr(D, "SHARD_CHARS", 1000)
     assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs(texts), bench).collect()} == whole >= {(k, k) for k in range(20)}
+
+
+def test_equals_sql(spark, docs, odd):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(4)
+    items = [(k, sentences(rng, rng.randrange(12, 60))) for k in range(25)] + [(50, " ".join(words(rng, 120)) + ".\nIt ends."), (51, None), (52, ""), (53, "Tiny one."), (54, "Two words here")]
+    texts = [t for t in odd if t is None or len(t) < 10_000]
+    for k in range(60):
+        leak = D.words_of((items[k % 30][1] or "").lower())
+        for _ in range(k % 4 * 2):
+            if leak:
+                leak[rng.randrange(len(leak))] = "changed"
+        body = words(rng, rng.randrange(0, 300))
+        at = rng.randrange(len(body) + 1)
+        texts.append(" ".join(body[:at] + leak + body[at:]))
+    got = sorted((r.doc_id, r.item_id, round(r.score, 6), r.question_overlap, r.answer_overlap) for r in D.find_leaks(docs(texts), spark.createDataFrame(items, BENCH)).collect())
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    c.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = sorted(c.sql(D.oracle_sql()).fetchall())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) > 15
+    for a, b in zip(got, want):
+        assert a[2:] == pytest.approx(b[2:], abs=2e-6)

@@ -108,3 +108,20 @@ def test_cutoffs_are_length_aware(spark):
 def test_plan_is_native(spark, docs):
     plan = S.secret_report(docs(["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equals_sql(spark, docs, odd):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(8)
+    texts = [*odd, *TRICKY]
+    for e in S.ENCODINGS:
+        for n in (20, 31, 44, 60, 90):
+            texts += [f"a {''.join(rng.choices(e.alphabet, k=n))}{'=' * (n % 3)} b {''.join(rng.choices(e.alphabet[:6], k=n))} é" for _ in range(12)]
+    got = sorted(tuple(r) for r in S.secret_report(docs(texts)).collect())
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = sorted(c.sql(S.oracle_sql()).fetchall())
+    assert got == want
+    assert sum("random" in r[5] for r in got) > 100
