@@ -29,7 +29,7 @@ import json
 from collections.abc import Mapping
 from math import ceil, gcd, log2
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SOURCES = 256
@@ -102,13 +102,11 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     """
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("s:"), F.col("row.source").cast("string")), F.lit("null"))
-    order = F.xxhash64(F.col("row.doc_id").cast("string"))
-    keyed = docs.select(F.struct("*").alias("row")).select("row", name.alias("key"), order.alias("h"))
+    keyed = docs.select(F.struct("*").alias("row")).select("row", name.alias("key"), hash_of(F.col("row.doc_id")).alias("h"))
 
     total = docs.count()
     bits = min(20, max(6, ceil(log2(max(1, total) / BUCKET_ROWS)) if total > BUCKET_ROWS else 6))
-    bucket = F.shiftrightunsigned(F.col("h"), 64 - bits)
-    few = docs.select(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("key"), bucket_of(F.col("doc_id"), bits).alias("bucket"))
+    few = docs.select(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("key"), bucket_of(hash_of(F.col("doc_id")), bits).alias("bucket"))
     per_bucket = few.groupBy("key", "bucket").agg(F.count("*").alias("n"))
     per_source = per_bucket.groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
@@ -128,7 +126,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     offsets = per_bucket.select("key", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     ties = [F.col("row.doc_id"), *[F.col(f"row.{c}") for c in ("n_chars", "text") if c in docs.columns]]
     within = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h", *ties)) - 1
-    numbered = keyed.withColumn("bucket", bucket).withColumn("i", within).join(offsets, ["key", "bucket"])
+    numbered = keyed.withColumn("bucket", bucket_of(F.col("h"), bits)).withColumn("i", within).join(offsets, ["key", "bucket"])
     i = F.col("before") + F.col("i")
     placed = numbered.select("row", F.col("key"), F.expr(f"(before + i) div {block}").alias("block"), (i % block).cast("int").alias("place"))
 
@@ -146,11 +144,39 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     )
 
 
-def bucket_of(doc_id, bits: int):
-    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string")), 64 - bits)
+def hash_of(doc_id: Column) -> Column:
+    """What a source's rows are ordered by, before doc_id itself."""
+    return F.coalesce(F.md5(doc_id.cast("string").cast("binary")), F.lit(""))
+
+
+def bucket_of(h: Column, bits: int) -> Column:
+    """The leading bits of a hash, so that buckets are in the order of the hashes."""
+    return F.coalesce(F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), 32 - bits), F.lit(0).cast("long"))
 
 
 def mix_order(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = 2, block: int = 64) -> DataFrame:
     """(doc_id, source) of every row of `docs` with its place in the mix."""
     m = mix(docs.select("doc_id", "source"), weights, default_weight, block)
     return m.select("row.*", *[c for c in m.columns if c != "row"])
+
+
+def oracle_sql(weights: Mapping[str, int] = WEIGHTS, default_weight: int = 2, block: int = 64) -> str:
+    """DuckDB SQL for `mix_order` over `documents` with unique doc_ids: the scheduler, a slot a step."""
+    given = " ".join(f"WHEN '{s}' THEN {w}" for s, w in weights.items())
+    return f"""
+WITH RECURSIVE src AS (SELECT source, coalesce('s:' || source, 'null') AS k, CASE source {given} ELSE {default_weight} END AS w, ceil(count(*) / {block}.0)::BIGINT AS b FROM documents GROUP BY source),
+step AS (
+  SELECT -1::BIGINT AS slot, 0 AS phase, 0::BIGINT AS start, 0 AS next_phase, 0::BIGINT AS next_start, list({{'k': k, 'w': w::BIGINT, 'b': b, 'g': 0::BIGINT, 'p': 0::BIGINT}} ORDER BY k) AS st,
+    NULL::VARCHAR AS k, 0::BIGINT AS block, 0::BIGINT AS release, 0::BIGINT AS deadline FROM src
+  UNION ALL
+  SELECT slot, phase, start, CASE WHEN ends THEN phase + 1 ELSE phase END, CASE WHEN ends THEN slot + 1 ELSE start END,
+    list_transform(st, lambda x: {{'k': x.k, 'w': x.w, 'b': x.b, 'g': CASE WHEN x.k = pick.k THEN x.g + 1 ELSE x.g END, 'p': CASE WHEN ends THEN 0::BIGINT WHEN x.k = pick.k THEN x.p + 1 ELSE x.p END}}),
+    pick.k, pick.g, pick.r, pick.d
+  FROM (SELECT *, pick.g + 1 = pick.b AS ends FROM (
+    SELECT slot, phase, start, st, list_sort(list_filter(list_transform(live, lambda x: {{'d': ((x.p + 1) * total + x.w - 1) // x.w, 'k': x.k, 'r': x.p * total // x.w, 'g': x.g, 'b': x.b}}), lambda x: x.r <= slot - start))[1] AS pick
+    FROM (SELECT slot + 1 AS slot, next_phase AS phase, next_start AS start, st, list_filter(st, lambda x: x.g < x.b) AS live, list_sum(list_transform(list_filter(st, lambda x: x.g < x.b), lambda x: x.w))::BIGINT AS total FROM step)
+    WHERE len(live) > 0))
+), numbered AS (SELECT doc_id, source, coalesce('s:' || source, 'null') AS k, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS i FROM documents)
+SELECT n.doc_id, n.source, s.block, s.phase, s.slot, (n.i % {block})::INT AS place, s.slot * {block} + n.i % {block} AS position, s.release, s.deadline
+FROM numbered n JOIN step s ON s.k = n.k AND s.block = n.i // {block} AND s.slot >= 0
+"""

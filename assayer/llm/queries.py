@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, quality_rules, secrets, url_filter
+from assayer.llm import decontaminate, mixing, quality_rules, secrets, url_filter
 from assayer.llm.common import read
 from assayer.llm.html_text import extract_pages
 from assayer.llm.langid import identify
-from assayer.llm.mixing import mix_order
 from assayer.llm.quality_model import score_quality
 from assayer.llm.simhash import simhash_components
 from assayer.llm.tokens import count_tokens
@@ -43,7 +42,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_order(read(spark, sf_dir, "documents"))
+    return mixing.mix_order(read(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +72,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_benchmark_decontamination": decontaminate.oracle_sql(),
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op6_secret_scans": secrets.oracle_sql(),
+    "op7_pfair_mixing": mixing.oracle_sql(),
 }

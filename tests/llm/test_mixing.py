@@ -83,3 +83,15 @@ def test_limits_are_checked(spark, docs):
 def test_plan_is_native(spark, docs):
     plan = M.mix_order(docs([(1, "x", "en", "a")]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equals_sql(spark, docs):
+    import duckdb
+    import pandas as pd
+
+    rows = [(k, "t", "en", "hot" if k % 3 == 0 else None if k % 31 == 0 else f"s{k % 7}") for k in range(700)]
+    weights = {"hot": 5, "s1": 3}
+    got = sorted(tuple(r) for r in M.mix_order(docs(rows), weights, 2, 8).collect())
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": [r[0] for r in rows], "source": [r[3] for r in rows]}))
+    assert got == sorted(c.sql(M.oracle_sql(weights, 2, 8)).fetchall())
