@@ -102,14 +102,33 @@ def near_pairs(rows: DataFrame, at_least: float, id: str = "idx", words: str = "
     return left.select("id", "words", "_i", "_j").groupBy("_i", "_j").cogroup(right.groupBy("_ri", "_rj")).applyInArrow(tile, "a long, b long, sim double")
 
 
+#: Pairs that one task walks at most, 16 bytes each.
+ONE_TASK = 1_000_000
+
+
+def _followers(table):
+    """The rows with an earlier neighbour that leads, given all pairs a < b."""
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    order = np.lexsort((a, b))
+    out: set[int] = set()
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        if x not in out:  # all of x's own pairs have been seen, as x < y
+            out.add(y)
+    return pa.table({"id": pa.array(sorted(out), pa.int64())})
+
+
 def leaders(ids: DataFrame, pairs: DataFrame, id: str = "idx", max_rounds: int = 200) -> DataFrame:
     """(id) of the rows that no earlier leader is near: the greedy pass, in rounds.
 
-    Each round accepts undecided rows without an undecided earlier neighbour, and
-    drops the neighbours of those.
+    Up to ONE_TASK pairs are walked by one task. Beyond that, each round accepts
+    undecided rows without an undecided earlier neighbour, and drops the neighbours
+    of those.
     """
-    undecided = cut(ids.select(F.col(id).cast("long").alias("id")))
     pairs = cut(pairs.select("a", "b"))
+    if pairs.count() <= ONE_TASK:
+        followers = pairs.groupBy(F.lit(1).alias("_g")).applyInArrow(_followers, "id long")
+        return cut(ids.select(F.col(id).cast("long").alias("id")).join(followers, "id", "left_anti"))
+    undecided = cut(ids.select(F.col(id).cast("long").alias("id")))
     chosen = None
     for _ in range(max_rounds):
         blocked = pairs.select(F.col("b").alias("id")).distinct()

@@ -235,8 +235,9 @@ def test_pairwise_tiles(spark, monkeypatch, tile):
         assert got[i].best_id == s.index(max(s)) and got[i].hits == sum(v > 0.3 for v in s)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_leaders_and_clusters(spark, seed):
+@pytest.mark.parametrize("seed, one_task", [(0, 0), (1, 0), (2, 10**6), (3, 10**6)])
+def test_leaders_and_clusters(spark, monkeypatch, seed, one_task):
+    monkeypatch.setattr(diversity, "ONE_TASK", one_task)
     vs = vectors(80, seed)
     kept = []
     for i, v in enumerate(vs):
