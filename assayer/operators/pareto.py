@@ -11,16 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def dominates(columns: Sequence[str], a: str = "a", b: str = "b"):
-    """Whether row a is at least as good as row b everywhere, and better somewhere."""
-    all_, some = F.lit(True), F.lit(False)
-    for c in columns:
-        all_ = all_ & (F.col(f"{a}.{c}") >= F.col(f"{b}.{c}"))
-        some = some | (F.col(f"{a}.{c}") > F.col(f"{b}.{c}"))
-    return all_ & some
-
-
-def fronts(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def fronts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """`df` with `front`, 1 for rows that no other row dominates, 2 for those only they dominate, and so on.
 
     Each group of `by` (a batch) is sorted on its own. Points alike in all columns

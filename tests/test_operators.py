@@ -447,7 +447,7 @@ def test_fronts(spark):
             want |= dict.fromkeys(front, k)
             left, k = {i: v for i, v in left.items() if i not in front}, k + 1
     df = spark.createDataFrame(rows, "idx long, g int, a int, b int, c int")
-    assert {r.idx: r.front for r in pareto.fronts(df, "idx", ["a", "b", "c"], ["g"]).collect()} == want
+    assert {r.idx: r.front for r in pareto.fronts(df, ["a", "b", "c"], ["g"]).collect()} == want
 
 
 def test_reward(spark):
