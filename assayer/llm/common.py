@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,22 @@ def without(rows: DataFrame, on: Column, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, on, "left_anti")
 
 
+def ship(spark: SparkSession, value):
+    """A broadcast of any object, with the code of its class: executors need no copy of this package. See opened()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared):
+    """What ship() sent, unpacked once in each worker process."""
+    raw, cache = shared.value, worker_cache()
+    key = ("opened", len(raw), hash(raw))
+    if key not in cache:
+        for k in [k for k in cache if k[0] == "opened"]:  # one at a time: earlier ones are of earlier jobs
+            del cache[k]
+        cache[key] = pickle.loads(raw)
+    return cache[key]
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python process it is asked in."""
     return sys.__dict__.setdefault("_assayer_worker_cache", {})

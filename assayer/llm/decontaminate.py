@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut, without
+from assayer.llm.common import cut, opened, ship, without
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -208,10 +208,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP)
     for k in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        shared = spark.sparkContext.broadcast(build(rows, overlap))
+        shared = ship(spark, build(rows, overlap))
 
         def run(batches, shared=shared):
-            indexes = shared.value
+            indexes = opened(shared)
             names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             for b in batches:

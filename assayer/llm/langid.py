@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.common import opened, ship
+
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
 PER_LANGUAGE = 4_000
@@ -139,11 +141,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     score is the model's probability of lang_pred.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    shared = ship(docs.sparkSession, model or train(docs))
 
     def run(batches):
+        predict = opened(shared).predict
         for b in batches:
-            names, scores = shared.value.predict(b.column(1).to_pylist())
+            names, scores = predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))

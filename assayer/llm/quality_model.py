@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import cut
+from assayer.llm.common import cut, opened, ship
 from assayer.llm.langid import held_out
 from assayer.llm.quality_rules import STOP_WORDS
 
@@ -100,6 +100,18 @@ class Model:
         return np.clip(np.interp(self.raw(stats), self.xs, self.ys), 0.0, 1.0)
 
 
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of a x = b for a positive definite a, by elimination in place of a threaded LAPACK, which can hang beside the JVM."""
+    a, b = a.copy(), b.astype(float).copy()
+    for k in range(len(b)):
+        f = a[k + 1 :, k] / a[k, k]
+        a[k + 1 :, k:] -= f[:, None] * a[k, k:]
+        b[k + 1 :] -= f * b[k]
+    for k in range(len(b) - 1, -1, -1):
+        b[k] = (b[k] - (a[k, k + 1 :] * b[k + 1 :]).sum()) / a[k, k]
+    return b
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators fit of y on x: the pools' mean x, ascending, and their level.
 
@@ -165,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for r in fit.select("stats", "y").mapInArrow(_partition_sums(model), "left binary, right binary").toLocalIterator():
         left += np.frombuffer(r["left"]).reshape(size, size)
         right += np.frombuffer(r["right"])
-    model.weights = np.linalg.solve(left, right)
+    model.weights = solve(left, right)
     kept = rows.where("calibrate").select("stats", "y").toArrow()  # a share of the bounded sample
     kept = kept if kept.num_rows else fit.select("stats", "y").toArrow()
     model.xs, model.ys = isotonic(model.raw(np.array(kept.column(0).to_pylist())), kept.column(1).to_numpy())
@@ -174,12 +186,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of `docs` (doc_id, text); labels: (doc_id, quality)."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    shared = ship(docs.sparkSession, train(docs, labels))
 
     def run(batches):
+        model = opened(shared)
         for b in batches:
             stats = np.array([statistics(t.as_py()) for t in b.column(1)], dtype=np.float64).reshape(b.num_rows, -1)
-            score = shared.value.score(stats) if b.num_rows else np.zeros(0)
+            score = model.score(stats) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), 5, 0).alias("held_out"))
