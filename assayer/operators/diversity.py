@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.transforms import lin_thresh
+from assayer.operators.tiles import TILE, _packed, tanimoto
 
 
 def output(n: Column, most: int, mode: str = "binary") -> Column:
@@ -75,8 +76,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def near_pairs(rows: DataFrame, at_least: float, id: str = "idx", words: str = "words") -> DataFrame:
     """(a, b, sim) with a < b of all pairs at least so similar, compared in tiles."""
-    from assayer.operators.tiles import TILE, _packed, tanimoto
-
     x = rows.select(F.col(id).cast("long").alias("id"), F.col(words).alias("words"))
     n = max(1, -(-x.count() // TILE))
     block = x.withColumn("_t", F.pmod(F.xxhash64("id"), F.lit(n)))
@@ -337,8 +336,6 @@ class Buffer:
         self.scores, self.prints = np.zeros(size), None
 
     def add(self, i: int, score: float, words: np.ndarray) -> None:
-        from assayer.operators.tiles import tanimoto
-
         if self.prints is None:
             self.prints = np.zeros((self.size, len(words)), np.uint64)
         n = len(self.ids)
@@ -362,8 +359,6 @@ class Buffer:
 
 
 def _walk(table: pa.Table, buffer: Buffer, each=None) -> None:
-    from assayer.operators.tiles import _packed
-
     for b in table.sort_by("_o").to_batches(max_chunksize=10_000):
         part = pa.Table.from_batches([b])
         for o, s, w in zip(part.column("_o").to_pylist(), part.column("_s").to_pylist(), _packed(part)):
@@ -431,10 +426,25 @@ def diverse_top(rows: DataFrame, score: str, budget: int, top_n: Sequence[int] =
     return traced.where("cp < 0").select("n", F.col("v").alias("avg")).join(area, "n")
 
 
+def _solved_ones(a: np.ndarray) -> np.ndarray:
+    """x of a x = 1, whose sum is that of a's inverse.
+
+    By elimination with pivots in place of a threaded LAPACK, which can hang beside the JVM.
+    """
+    a = np.hstack([a, np.ones((len(a), 1))])
+    n = len(a)
+    for k in range(n):
+        p = k + int(np.abs(a[k:, k]).argmax())
+        a[[k, p]] = a[[p, k]]
+        a[k + 1 :, k:] -= (a[k + 1 :, k] / a[k, k])[:, None] * a[k, k:]
+    x = a[:, n].copy()
+    for k in range(n - 1, -1, -1):
+        x[k] = (x[k] - (a[k, k + 1 : n] * x[k + 1 :]).sum()) / a[k, k]
+    return x
+
+
 def solow_polasky(rows: DataFrame, words: str = "words", normalize: bool = True, k: int = 1000, seed: int = 123, id: str = "idx") -> float:
     """Sum of the inverse of exp(-10 d) over distinct rows of distances, of a seeded sample of k rows at most."""
-    from assayer.operators.tiles import tanimoto
-
     got = seeded_sample(rows, k, seed, id).orderBy(id).select(words).toArrow()  # k rows
     x = np.array(got.column(0).to_pylist(), dtype=np.int64).view(np.uint64)
     if not len(x):
@@ -442,5 +452,5 @@ def solow_polasky(rows: DataFrame, words: str = "words", normalize: bool = True,
     d = 1.0 - tanimoto(x, x)
     _, first = np.unique(d, axis=0, return_index=True)
     d = d[np.sort(first)][:, np.sort(first)]
-    total = float(np.linalg.inv(np.exp(-10.0 * d)).sum())
+    total = float(_solved_ones(np.exp(-10.0 * d)).sum())
     return total / len(x) if normalize else total

@@ -201,11 +201,11 @@ def cache_lookup(spark, d):
     return batch.attach_with_cache(new.select("idx", "mol_id"), results, log, ["property"]).select("idx", "mol_id", r6(F.col("property"), "property"))
 
 
-@query(f"""{WITH_RUN}, res AS (SELECT mol_id, avg(score) AS m FROM run WHERE valid GROUP BY mol_id) SELECT idx, r.mol_id, round(coalesce(m, 0), 6) + 0.0 AS property FROM run r LEFT JOIN res USING (mol_id)""")
+@query(f"""{WITH_RUN}, res AS (SELECT mol_id, avg(score) AS m FROM run WHERE valid GROUP BY mol_id) SELECT idx, r.mol_id, round(coalesce(m, 0), 12) + 0.0 AS property FROM run r LEFT JOIN res USING (mol_id)""")
 def attach_results(spark, d):
     r = run(spark, d)
     res = r.where("valid").groupBy("mol_id").agg(F.avg("score").alias("property"))
-    return batch.attach_results(r.select("idx", "mol_id"), res).select("idx", "mol_id", r6(F.col("property"), "property"))
+    return batch.attach_results(r.select("idx", "mol_id"), res).select("idx", "mol_id", (F.round("property", 12) + 0.0).alias("property"))
 
 
 @query("""SELECT coalesce(a.k, b.k) AS mol_id, round(x, 4) + 0.0 AS x, n FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer) a FULL JOIN (SELECT o_custkey * 2 AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k""")
