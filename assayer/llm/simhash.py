@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assayer.llm import near_copies
 from assayer.llm.common import connected_components, cut, without
 
 SEED = 42
@@ -242,23 +243,30 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of `docs` (doc_id, text).
+def labelled(rows: DataFrame, links) -> DataFrame:
+    """`rows` (doc_id, fp and others) with their component and its smallest doc_id as component_id.
 
-    component_id is the smallest doc_id that links of at most `radius` differing
-    bits reach, itself included.
+    links: from the distinct values of fp to edges (a, b) of them.
     """
-    rows = cut(fingerprints(docs, size))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    found = connected_components(near_links(distinct, radius))
+    found = connected_components(links(distinct))
     member = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = member.groupBy("component").agg(F.min("first").alias("least"))
-    linked = member.join(least, "component").select(F.col("node").alias("fp"), "least")
-    labels = cut(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
+    linked = member.join(least, "component").select(F.col("node").alias("fp"), "component", "least")
+    labels = cut(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")))
     # a fingerprint that very many rows share is labelled by a broadcast of at most HOT rows
     often = max(1000, -(-rows.count() // HOT))
     hot, cold = labels.where(F.col("n") >= often).drop("n"), labels.where(F.col("n") < often).drop("n")
-    out = rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    return rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+
+
+def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of `docs` (doc_id, text).
+
+    component_id is the smallest doc_id that links of at most `radius` differing
+    bits reach, itself included.
+    """
+    out = labelled(cut(fingerprints(docs, size)), lambda distinct: near_links(distinct, radius))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -268,7 +276,18 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) ->
     All columns of `docs` come back as they were. Of rows that repeat a doc_id
     that stays, one is kept. Rows without a doc_id can't be told apart and stay.
     """
-    labels = cut(simhash_components(docs, radius, size).select("doc_id", "component_id"))
+    return first_of_each(docs, cut(simhash_components(docs, radius, size).select("doc_id", "component_id")))
+
+
+def near_copies_removed(docs: DataFrame, least: float = near_copies.LEAST, size: int = near_copies.SIZE) -> DataFrame:
+    """As near_duplicates_removed, for near copies by word shingles (see `near_copies`)."""
+    rows = cut(near_copies.sketches(docs, size))
+    labels = labelled(rows.drop("bands"), lambda _: near_copies.near_copy_links(docs, rows, least, size))
+    return first_of_each(docs, cut(labels.select("doc_id", "component_id")))
+
+
+def first_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that `labels` (doc_id, component_id) leave: of each component its smallest doc_id."""
     copies = cut(labels.where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
     kept = without(whole, F.col("key") == F.col("copy"), copies)
