@@ -13,7 +13,7 @@ whole, long or short, without those that markup declares to be something else:
 menus, headers, footers, asides, forms, adverts, notices, comments.
 
 Defined results: a null page, or one without text, gives an empty text; unclosed
-tags end with their parent; a page cut off inside a tag or comment loses that
+tags end with their parent, an unclosed head where the body begins; a page cut off inside a tag or comment loses that
 tag; repeated rows stay.
 """
 
@@ -40,6 +40,8 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select button textarea input map".split())
+#: What a head may hold; any other start tag, or text, ends a head that is still open.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 LANDMARKS = frozenset(("article", "main"))
@@ -112,8 +114,16 @@ class Blocks(HTMLParser):
             return True
         return tag not in HEADINGS and any(map(_NAMES.search, names))
 
+    def _close_head(self, tag: str) -> None:
+        e = self.at
+        while tag == "body" and e.parent is not None and e.tag not in ("head", "template"):
+            e = e.parent
+        if e.tag == "head" and tag not in IN_HEAD:
+            self._pop_to(e.parent)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self._close_head(tag)
         if tag in BLOCK:
             self._end_block()
             e = self.at
@@ -162,6 +172,8 @@ class Blocks(HTMLParser):
             self._pop_to(e.parent)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._close_head("")
         if self.at.silent:
             return
         if not self.text:

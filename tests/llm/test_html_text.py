@@ -119,3 +119,19 @@ def test_parser_streams():
     for c in PAGE:
         p.feed(c)
     assert [b[1] for b in p.finish()][:3] == ["Home Site & Co", "Menu", "Two"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><article><p>{0}</p></article></body></html>",
+        "<html><head><title>T</title><meta charset=utf-8><style>p {{}}</style><script>x()</script><article><p>{0}</p></article></html>",
+        "<head><title>T</title><noscript><img src=x></noscript><link rel=a href=b><p>{0}",
+        "<head><title>T</title>{0}",
+        "<html><head><template><p>not this</p></template></head><body><p>{0}</p></body></html>",
+        "<html><head><title>T</title></head><body><p>{0}</p></body></html>",
+    ],
+)
+def test_open_head_ends_where_the_body_begins(page):
+    text = "The river rose by two metres in the night and took the old bridge with it."
+    assert main_text(page.format(text)) == text
