@@ -36,8 +36,8 @@ BASE = {
 }
 #: What a text has to contain, in lower case, for a pattern to be worth running.
 HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "hex": ()}
-#: A token of the battery: a whole run of encoding characters, 20 or more.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+#: A token of the battery: a whole run of encoding characters, 20 or more, also right after '='.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 BINS = 20
 
 

@@ -125,3 +125,13 @@ def test_equals_sql(spark, docs, odd):
     want = sorted(c.sql(S.oracle_sql()).fetchall())
     assert got == want
     assert sum("random" in r[5] for r in got) > 100
+
+
+@pytest.mark.parametrize("layout", ["AUTH={}", "export ACCESS_KEY={} # key", "https://h.example/x?sig={}&n=1", "a=={}"])
+def test_tokens_right_after_an_equals_sign(spark, docs, layout):
+    rng = random.Random(11)
+    texts = [layout.format("".join(rng.choices(S.ENCODINGS[5].alphabet, k=32))) for _ in range(60)]
+    rows = S.secret_report(docs(texts)).collect()
+    at = layout.index("{")
+    assert sum(r.spans == f"random:{at}:{at + 32}" for r in rows) >= 40
+    assert sum("[SECRET]" in r.text for r in S.secrets_masked(docs(texts)).collect()) >= 40
