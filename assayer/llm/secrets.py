@@ -10,7 +10,8 @@ have little power, so each encoding and length band is its own stratum: from the
 count of p-values above one half, which ordinary tokens rarely reach, the number
 of random tokens is estimated, and the smallest cutoff is taken above which the
 estimated share of ordinary ones is at most `rate` (q). P-values are counted in
-bins, so a stratum is a fixed number of counts however many tokens it has.
+bins, so a stratum is a fixed number of counts however many tokens it has. A token
+counts once however often it occurs, and not where a labelled find covers it.
 
 All of it is column expressions, one aggregate and one join with a table of
 thresholds whose size is fixed by the number of strata.
@@ -162,11 +163,11 @@ def _stratum(encoding: Column, length: Column) -> Column:
 
 
 def tested(text: Column) -> Column:
-    """The battery's tokens of a text, as array of (start, end, stratum, bin): bin b holds p in [b, b+1)/BINS."""
+    """The battery's tokens of a text, as array of (start, end, stratum, bin, token): bin b holds p in [b, b+1)/BINS, token is a hash."""
 
     def one(x: Column) -> Column:
         return let(_encoding(x["found"]), lambda e: F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(e["name"], F.length(x["found"])).alias("stratum"),
-            F.least(F.floor(token_p_value(x["found"], e["size"], e["alphabet"]) * BINS).cast("int"), F.lit(BINS - 1)).alias("bin")))
+            F.least(F.floor(token_p_value(x["found"], e["size"], e["alphabet"]) * BINS).cast("int"), F.lit(BINS - 1)).alias("bin"), F.xxhash64(x["found"]).alias("token")))
 
     return F.filter(F.transform(matches(text, "random", len(BASE), TOKEN), one), lambda t: t["stratum"].isNotNull())
 
@@ -195,6 +196,11 @@ def cutoffs(counts: DataFrame, rate: float) -> DataFrame:
     return per.where("random > 0").select("stratum", F.coalesce(F.array_min(F.transform(fine, lambda x: x["bin"])), F.lit(BINS // 2)).alias("least"))
 
 
+def _free(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap none of the spans."""
+    return F.filter(tokens, lambda t: ~F.exists(spans, lambda k: (k["start"] < t["end"]) & (t["start"] < k["end"])))
+
+
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """Every row of `docs` as struct `row`, with `text` (null as empty) and `spans`.
 
@@ -203,10 +209,16 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     found = docs.select(F.struct("*").alias("row")).withColumn("text", text)
-    counts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.explode(tested(F.col("text"))).alias("t"))
-    counts = counts.groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
-    least = cutoffs(cut(counts), rate).collect()  # a row for each stratum: encodings times bands
     base = base_matches(F.col("text"))
+
+    def uncovered(tokens: Column) -> Column:
+        known = F.transform(F.concat(*base.values()), lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end")))
+        return F.when(F.size(tokens) > 0, let(known, lambda spans: _free(tokens, spans)))
+
+    # each token counts once, however often it is copied
+    counts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.explode(let(tested(F.col("text")), uncovered)).alias("t"))
+    counts = counts.select("t.stratum", "t.bin", "t.token").distinct().groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    least = cutoffs(cut(counts), rate).collect()  # a row for each stratum: encodings times bands
     found = found.select("row", "text", *[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["kind"].alias("kind"), x["end"].alias("end"))).alias(k) for k, c in base.items()])
     labelled = F.concat(*base)
     if least:
@@ -214,8 +226,7 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
         def flagged(known: Column) -> Column:
             hot = F.filter(tested(F.col("text")), lambda t: t["bin"] >= F.coalesce(F.try_element_at(table, t["stratum"]), F.lit(BINS)))
-            free = F.filter(hot, lambda t: ~F.exists(known, lambda k: (k["start"] < t["end"]) & (t["start"] < k["end"])))
-            extra = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("order"), F.lit("random").alias("kind"), t["end"].alias("end")))
+            extra = F.transform(_free(hot, known), lambda t: F.struct(t["start"].alias("start"), F.lit(len(BASE)).alias("order"), F.lit("random").alias("kind"), t["end"].alias("end")))
             return F.sort_array(F.concat(known, extra))
 
         return found.withColumn("spans", let(labelled, flagged))

@@ -135,3 +135,24 @@ def test_tokens_right_after_an_equals_sign(spark, docs, layout):
     at = layout.index("{")
     assert sum(r.spans == f"random:{at}:{at + 32}" for r in rows) >= 40
     assert sum("[SECRET]" in r.text for r in S.secrets_masked(docs(texts)).collect()) >= 40
+
+
+@pytest.mark.parametrize("high", [True, False])
+def test_copies_of_a_token_do_not_move_the_cutoffs(spark, docs, high):
+    rng = random.Random(12)
+    base62 = S.ENCODINGS[5].alphabet
+    p = lambda t: brute_p(t, base62)
+    tokens = ["".join(rng.choices(base62, k=32)) for _ in range(200)]
+    texts = [f"see {t} here" for t in tokens] + [f"id file{k:04}ReportReportReportFinalFinal end" for k in range(200)]
+    copied = next(t for t in iter(lambda: "".join(rng.choices(base62, k=32)), None) if (p(t) > 0.6 if high else 0.06 < p(t) < 0.4))
+    spans = lambda more: {r.doc_id: r.spans for r in S.secret_report(docs(texts + more)).collect() if r.doc_id < len(texts)}
+    assert spans([f"see {copied} here"]) == spans([f"see {copied} here"] * 3000)
+
+
+def test_covered_tokens_are_not_counted(spark, docs):
+    rng = random.Random(13)
+    base62 = S.ENCODINGS[5].alphabet
+    texts = [f"id file{k:04}ReportReportReportFinalFinal end" for k in range(300)]
+    covered = [f"password: {''.join(rng.choices(base62, k=32))}" for _ in range(300)]
+    rows = S.secret_report(docs(texts + covered)).collect()
+    assert not any("random" in r.spans for r in rows) and sum(r.n_assign for r in rows) == 300
