@@ -1,8 +1,11 @@
 import html
 import re
+import time
 
+import numpy as np
 import pytest
 
+from assayer.llm import html_text
 from assayer.llm.html_text import Blocks, content_lines, extract_pages, main_text
 
 PAGE = """<!doctype html><html><head><title>T</title><style>.x{}</style></head><body class="has-sidebar"><header><a href=/>Home</a> Site &amp; Co</header><nav><ul><li>Menu<li>Two</ul></nav>
@@ -135,3 +138,67 @@ def test_parser_streams():
 def test_open_head_ends_where_the_body_begins(page):
     text = "The river rose by two metres in the night and took the old bridge with it."
     assert main_text(page.format(text)) == text
+
+
+def without_landmarks(page, footer=False):
+    """A page whose article, menu and advert, and footer, nothing but their text tells apart."""
+    names = "article|nav|footer" if footer else "article|nav"
+    return re.sub(rf"</?(?:{names})>|<div class=\"ad\">", lambda m: {"</": "</div>"}.get(m[0][:2], "<div>"), page)
+
+
+def articles(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inner)]
+        yield r.html, "\n".join(x for x in lines if x)
+
+
+def test_articles_are_found_without_landmarks(spark):
+    got = [main_text(without_landmarks(page)) == want for page, want in articles(spark)]
+    assert sum(got) >= 0.98 * len(got)
+
+
+def test_the_clusters_decide(spark, monkeypatch):
+    pages = list(articles(spark))
+    right = lambda: sum(main_text(without_landmarks(page, footer=True)) == want for page, want in pages) / len(pages)
+    with_clusters = right()
+    monkeypatch.setattr(html_text, "content_lines", lambda plain, tags: np.ones(len(plain), bool))
+    assert with_clusters >= 0.6 > 0.45 >= right()
+
+
+LONG = "The river rose by two metres in the night and took the old bridge with it, and nobody saw it go."
+ARTICLE = f"<h1>Title</h1><p>{LONG} {LONG}</p><p>Short.</p><p>{LONG}</p>"
+WANTED = f"Title\n{LONG} {LONG}\nShort.\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id=aspnetForm><div><nav><a href=1>x</a></nav><div class=content>{0}</div><footer>foot</footer></div></form>",
+        "<form id=aspnetForm><article>{0}</article></form>",
+        "<div class='layout sidebar-right'><article>{0}</article><div class=sidebar>{1}</div></div>",
+        "<div class='layout sidebar-right'><div>{0}</div><div class=sidebar>{1}</div></div>",
+        "<div id='search-layout'><div>{0}</div></div>",
+        "<nav><ul><li><a href=1>x</a><li><a href=2>y</a></ul><article>{0}</article><footer>f</footer>",
+        "<div class='legal-history'><article>{0}</article></div>",
+        "<article><section class='social-policy'>{0}</section></article>",
+        "<article>{0}</article><section class=related><article><h3>Other</h3><p>{1} {1} {1} {1}</p></article></section>",
+        "<div class=post>{0}</div><div class=reader-comments><p>{1} {1} {1}</p><p>{1} {1} {1} {1}</p></div>",
+        "<div>{0}</div><footer><p>{1} {1} {1} {1} {1} {1}</p></footer>",
+        "<ul><li><a href=1>Home</a><li><a href=1>News</a><li><a href=1>Sport</a></ul>{0}<ul><li><a href=1>Imprint</a><li><a href=1>Privacy</a></ul>",
+        "<article><div><a href=1>a</a> <a href=2>b</a></div>{0}<div><a href=1>c</a> <a href=2>d</a></div></article>",
+    ],
+)
+def test_names_around_the_article_and_lists_beside_it(page):
+    assert main_text("<html><head><title>T</title></head><body>" + page.format(ARTICLE, LONG)) == WANTED
+
+
+def test_comments_are_never_the_article():
+    assert main_text(f"<div class=comments><p>{LONG}</p><p>{LONG}</p></div>") == ""
+
+
+@pytest.mark.parametrize("page", ["<div>a", "<blockquote><b>a", "<td><p>a", "<b>", "<li><ul>a", "a</x></y>", "<body><head>a"])
+def test_deep_pages_take_time_in_proportion(page):
+    begin = time.process_time()
+    main_text(page * 20_000)
+    assert time.process_time() - begin < 10
