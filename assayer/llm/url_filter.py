@@ -10,7 +10,10 @@ The plan is column expressions and joins. Most pages have no such link, so only
 those that do reach the graph, and the answer is joined back by URL key alone.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and
-no aliases, so it is allowed; repeated rows stay.
+no aliases, so it is allowed; null and empty html hold no links, very long html is
+searched whole, a tag whose quotes never end holds none; of rules of one length the
+first counts; repeated rows stay; an empty table gives an empty result; other
+columns of `pages`, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import connected_components, cut, let
+from assayer.llm.common import attach, connected_components, cut, let
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,9 @@ class Rule:
         return self.host + self.path
 
 
+#: Aliases with a verdict that are broadcast at most, about 20 MB; more are joined by a shuffle of the URLs.
+BROADCAST_URLS = 100_000
+
 #: The rules of the registered query.
 RULES = (
     Rule("block", "net", "/"),
@@ -76,7 +82,8 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 #: Tags that name another address of the page, and the address in them.
-_TAG = r"""(?is)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+#: Possessive, as the Java engine takes a stack frame for each turn of a group that it may have to take back.
+_TAG = r"""(?is)<(?:link|meta)\b[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 _REFRESH = r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["']?([^"'\s>]+)"""
 
@@ -125,10 +132,12 @@ def judge_urls(pages: DataFrame, rules=RULES, links: DataFrame | None = None) ->
     else:
         node = connected_components(found.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b")))
         name = F.concat(F.lit("x://"), F.col("node"))
-        node = node.withColumn("own", matching_rule(host_of(name), path_of(name), rules)["verdict"])
-        of_class = node.groupBy("component").agg(F.max(F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1).otherwise(0)).alias("top"))
-        shared = F.when(F.col("top") == 2, "allow").when(F.col("top") == 1, "block")
-        node = node.join(of_class, "component").select(F.col("node").alias("key"), shared.alias("shared")).where("shared is not null")
+        node = cut(node.withColumn("own", matching_rule(host_of(name), path_of(name), rules)["verdict"]))
+        top = F.max(F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1).otherwise(0))
+        of_class = node.groupBy("component").agg(top.alias("top"), F.count("*").alias("n")).where("top > 0")
+        shared = F.when(F.col("top") == 2, "allow").otherwise("block")
+        node = cut(attach(node, of_class, "component", node.count()).select(F.col("node").alias("key"), shared.alias("shared")))
+        node = F.broadcast(node) if node.count() <= BROADCAST_URLS else node
         judged = judged.withColumn("key", alias_key(url)).join(node, "key", "left")
     via = F.when(F.col("own").isNotNull(), "rule").when(F.col("shared").isNotNull(), "alias").otherwise("default")
     verdict = F.coalesce(F.col("own.verdict"), F.col("shared"), F.lit("allow"))
