@@ -13,8 +13,10 @@ returns a spanning forest of its links, never all pairs, and the forests are
 joined by distributed connected components.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
-other; repeated rows stay; a null doc_id gets its group's smallest doc_id, or
-null if there is none; an empty table gives an empty result.
+other; very long texts are hashed whole, in slices; repeated rows stay; a null doc_id
+gets its group's smallest doc_id, or null if there is none; a bit that half of the
+hashes have is 0; an empty table gives an empty result; other columns of `docs`,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.llm import near_copies
-from assayer.llm.common import connected_components, cut, without
+from assayer.llm.common import BROADCAST_KEYS, attach, connected_components, cut, without
 
 SEED = 42
 #: Distinct fingerprints that fit the tree, at most.
@@ -36,8 +37,6 @@ SAMPLE = 40_000
 SHARD = 40_000
 #: Levels of the tree that deals out shards, where the sample allows it.
 MIN_LEVELS, MAX_LEVELS = 5, 16
-#: Fingerprints that are labelled by broadcast at most.
-HOT = 2000
 #: Pairs that a shard compares outright.
 BLOCK = 1_500_000
 
@@ -62,15 +61,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's bits as a signed long."""
+    """(doc_id, key, fp) of every row: the text's hash, and the fingerprint's bits as a signed long."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), size) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return src.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _apart(a: np.ndarray, b) -> np.ndarray:
@@ -244,20 +244,19 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def labelled(rows: DataFrame, links) -> DataFrame:
-    """`rows` (doc_id, fp and others) with their component and its smallest doc_id as component_id.
+    """`rows` (doc_id, key, fp) with their component, its smallest doc_id as component_id, and the key of a row that has it.
 
     links: from the distinct values of fp to edges (a, b) of them.
     """
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
+    distinct = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
     found = connected_components(links(distinct))
-    member = found.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = member.groupBy("component").agg(F.min("first").alias("least"))
-    linked = member.join(least, "component").select(F.col("node").alias("fp"), "component", "least")
-    labels = cut(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "first").alias("component_id")))
-    # a fingerprint that very many rows share is labelled by a broadcast of at most HOT rows
-    often = max(1000, -(-rows.count() // HOT))
-    hot, cold = labels.where(F.col("n") >= often).drop("n"), labels.where(F.col("n") < often).drop("n")
-    return rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
+    member = cut(found.join(distinct.withColumnRenamed("fp", "node"), "node"))
+    least = member.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("size")).withColumnRenamed("size", "n")
+    linked = attach(member.drop("n"), least, "component", member.count()).select(F.col("node").alias("fp"), "component", "least")
+    label = F.coalesce("least", "first")
+    labels = cut(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), label["doc_id"].alias("component_id"), label["key"].alias("component_key")))
+    return attach(rows, labels, "fp", rows.count())
 
 
 def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
@@ -271,29 +270,34 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataF
 
 
 def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """The rows of `docs` without near copies: of each component its smallest doc_id stays.
+    """The rows of `docs` without near copies: of each component one row stays, of its smallest doc_id.
 
-    All columns of `docs` come back as they were. Of rows that repeat a doc_id
-    that stays, one is kept. Rows without a doc_id can't be told apart and stay.
+    All columns of `docs` come back as they were, extra ones of any name among
+    them. Rows are judged by doc_id and text: rows of one doc_id whose texts
+    aren't near copies all stay; of rows alike in both one is kept. Rows without
+    a doc_id can't be told apart and stay. An empty table gives an empty result.
     """
-    return first_of_each(docs, cut(simhash_components(docs, radius, size).select("doc_id", "component_id")))
+    return first_of_each(docs, labelled(cut(fingerprints(docs, size)), lambda distinct: near_links(distinct, radius)))
 
 
 def near_copies_removed(docs: DataFrame, least: float = near_copies.LEAST, size: int = near_copies.SIZE) -> DataFrame:
     """As near_duplicates_removed, for near copies by word shingles (see `near_copies`)."""
     rows = cut(near_copies.sketches(docs, size))
-    labels = labelled(rows.drop("bands"), lambda _: near_copies.near_copy_links(docs, rows, least, size))
-    return first_of_each(docs, cut(labels.select("doc_id", "component_id")))
+    return first_of_each(docs, labelled(rows.select("doc_id", "key", "fp"), lambda _: near_copies.near_copy_links(docs, rows, least, size)))
 
 
 def first_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that `labels` (doc_id, component_id) leave: of each component its smallest doc_id."""
-    copies = cut(labels.where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct())
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    kept = without(whole, F.col("key") == F.col("copy"), copies)
-    repeated = labels.where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key")
+    """The rows of `docs` that `labels` (doc_id, key, component_id, component_key) leave: one of each component."""
+    labels = cut(labels.select("doc_id", "key", ((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("component_key"))).alias("stays")))
+    mine = labels.groupBy(F.col("doc_id").alias("copy"), F.col("key").alias("copy_key"), "stays").count()
+    text = F.xxhash64(F.col("text").cast("string"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("key"))
+    same = (F.col("id") == F.col("copy")) & (F.col("key") == F.col("copy_key"))
+    kept = without(whole, same, cut(mine.where("not stays").select("copy", "copy_key")))
+    repeated = cut(mine.where("stays and count > 1").select("copy", "copy_key"))
     if not repeated.isEmpty():
-        one = Window.partitionBy("key").orderBy(F.col("row.text"))
-        again = kept.join(repeated, "key", "left_semi").withColumn("rank", F.row_number().over(one)).where("rank = 1")
-        kept = kept.join(repeated, "key", "left_anti").unionByName(again.drop("rank"))
+        few = repeated.count() <= BROADCAST_KEYS
+        again = kept.join(F.broadcast(repeated) if few else repeated, same, "left_semi")
+        one = again.groupBy("id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = without(kept, same, repeated).select("row").unionByName(one.select("row"))
     return kept.select("row.*")

@@ -52,9 +52,9 @@ def test_pipeline_drops_copies_with_changed_words(spark, docs):
     assert {r.doc_id for r in P.deduplicate(spark, docs(texts), "").collect()} == {0, 2, 3}
 
 
-@pytest.mark.parametrize("stars", [0, 4])
-def test_kept_equal_brute_force(spark, docs, odd, monkeypatch, stars):
-    monkeypatch.setattr(near_copies, "STARS", stars)
+@pytest.mark.parametrize("centres", [1, 8])
+def test_kept_equal_brute_force(spark, docs, odd, monkeypatch, centres):
+    monkeypatch.setattr(near_copies, "CENTRES", centres)
     texts = [*odd, *varied()]
     assert {r.doc_id for r in simhash.near_copies_removed(docs(texts)).collect()} == brute_kept(texts)
 
@@ -65,6 +65,50 @@ def test_a_chain_is_one_group(spark, docs):
     assert {r.doc_id for r in simhash.near_copies_removed(docs(texts)).collect()} == brute_kept(texts) == {0}
 
 
+def test_a_centre_of_very_many_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_copies, "SPREAD", 10)
+    words = prose(4, 200)
+    texts = [edited(words, [k % 200]) + f" {k // 200}" for k in range(300)] + varied()
+    assert {r.doc_id for r in simhash.near_copies_removed(docs(texts)).collect()} == brute_kept(texts)
+
+
+def test_buckets_of_texts_that_are_not_alike(spark, docs):
+    # a long passage in common: many share bands, few are near copies
+    common = prose(5, 150)
+    texts = [" ".join(common + prose(100 + k, 60)) for k in range(40)] + [" ".join(common + prose(100 + k % 7, 60) + [f"x{k}"]) for k in range(30)]
+    assert {r.doc_id for r in simhash.near_copies_removed(docs(texts)).collect()} == brute_kept(texts)
+
+
+@pytest.mark.parametrize("remove", [simhash.near_copies_removed, simhash.near_duplicates_removed])
+def test_rows_that_share_a_doc_id(spark, docs, remove):
+    a, b, c, d = (" ".join(prose(20 + k, 60)) for k in range(4))
+    rows = [(1, a, "en", "x"), (5, a, "en", "x"), (5, b, "en", "x"), (7, c, "en", "x"), (7, d, "en", "x"), (7, d, "de", "y"), (None, a, "en", "x"), (None, None, "en", "x"), (8, None, "en", "x"), (8, "", "en", "x")]
+    kept = sorted(((r.doc_id, r.text) for r in remove(docs(rows)).collect()), key=str)
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (7, c), (7, d), (None, a), (None, None), next(x for x in kept if x[0] == 8)], key=str)
+
+
+def test_every_lost_row_has_a_copy_that_stays(spark, docs, odd):
+    rng = random.Random(3)
+    texts = [*odd, *varied()]
+    rows = [(rng.choice([None, *range(30)]), t, "en", f"s{k}") for k, t in enumerate(texts * 2)]
+    left = [r.source for r in simhash.near_copies_removed(docs(rows)).collect()]
+    assert len(set(left)) == len(left)
+    groups = {}
+    sets, up = [brute_set(r[1]) for r in rows], list(range(len(rows)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if up[i] != up[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    for i, r in enumerate(rows):
+        groups.setdefault(up[i], []).append(r)
+    for group in groups.values():
+        ids = [r[0] for r in group if r[0] is not None]
+        stay = [r for r in group if r[3] in left]
+        assert sum(r[0] is None for r in stay) == sum(r[0] is None for r in group)
+        assert [r[0] for r in stay if r[0] is not None] == ([min(ids)] if ids else [])
+
+
 def test_links_hold_exactly(spark, docs):
     texts = varied()
     df = docs(texts)

@@ -139,3 +139,30 @@ def test_connected_components(spark, seed):
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    from assayer.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", 50)
+    edges = [(k, 5000) for k in range(1, 3000)] + [(0, 2999), (6000, 6001)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(3000), 5000], 0), 6000: 6000, 6001: 6000}
+    table = spark.createDataFrame([(k, 2000 if k == 1 else 1, f"v{k}") for k in range(5)], "k long, n long, v string")
+    rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(2, 0), (9, 0)], "k long, i long")
+    assert sorted(common.attach(rows, table, "k", 2002).select("k", "i", "v").collect()) == sorted([(1, i, "v1") for i in range(2000)] + [(2, 0, "v2")])
+
+
+def test_a_cluster_without_a_shared_folder_is_told(monkeypatch):
+    from assayer.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.with_checkpoints(Session())
