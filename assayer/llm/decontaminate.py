@@ -14,19 +14,26 @@ five-word shingles of the item's question, and of its answer, that the passage
 holds; both have to reach `overlap`. The answer is the item's last sentence, if
 more than one has words.
 
-The index is broadcast in shards of at most `SHARD_CHARS` characters of item text;
-a larger benchmark takes more passes over the documents.
+The index is packed: posting lists and word numbers lie in flat arrays, about six
+bytes for a character of item text. It is broadcast in shards of at most
+`SHARD_CHARS` such characters; a larger benchmark takes more passes over the
+documents, one shard after the other. Lengths and word frequencies are those of all
+items of a class, so neither the pairs found nor their scores depend on the shards.
 
 Defined results: null and empty texts match nothing; items without words match
 nothing; parts of fewer than five words are one shingle; ties and repeated rows
-stay; a null doc_id is carried as it is.
+stay, each with its own rows; very long texts are searched whole, window by window;
+an empty table on either side gives an empty result; a null doc_id is carried as it
+is; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from math import log
 
 import numpy as np
@@ -41,7 +48,8 @@ SHINGLE = 5
 OVERLAP = 0.8
 #: Items in a block of a posting list that share a maximum.
 BLOCK = 8
-SHARD_CHARS = 32_000_000
+#: Characters of item text in a shard of the index, which takes about six bytes for each.
+SHARD_CHARS = 8_000_000
 #: Runs of items with a coarse maximum for each word.
 RUNS = 32
 #: Longest item, in words, of each length class; longer items double on.
@@ -68,35 +76,82 @@ def _may_miss(words: list, overlap: float) -> int:
     return int((1 - overlap) * len(shingles(words)) + 1e-9)
 
 
+class _Lists:
+    """A list of lists as one flat array and where each of them begins."""
+
+    def __init__(self, kind: str, lists):
+        self.flat = array(kind)
+        self.at = array("q", [0])
+        for x in lists:
+            self.flat.extend(x)
+            self.at.append(len(self.flat))
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def __getitem__(self, i: int) -> list:
+        return self.flat[self.at[i] : self.at[i + 1]].tolist()
+
+
+class Statistics:
+    """Of all items of a length class: how many there are, their mean words, and how many hold each word."""
+
+    def __init__(self, items: int, mean: float, df):
+        self.items, self.mean, self.df = items, mean, df
+
+    @classmethod
+    def of(cls, items: list[tuple[object, list[str], list[str]]]) -> Statistics:
+        return cls(len(items), sum(len(q) + len(a) for _, q, a in items) / len(items), Counter(w for _, q, a in items for w in {*q, *a}))
+
+
 class Index:
-    """Posting lists of normalised impacts for the items of one length class."""
+    """Posting lists of normalised impacts for items of one length class."""
 
-    def __init__(self, items: list[tuple[object, list[str], list[str]]], width: int, overlap: float):
-        self.width, self.overlap, self.items = width, overlap, items
+    def __init__(self, items: list[tuple[object, list[str], list[str]]], width: int, overlap: float, all_items: Statistics | None = None):
+        self.width, self.overlap, self.ids = width, overlap, [i for i, _, _ in items]
         self.vocab = {w: i for i, w in enumerate(sorted({w for _, q, a in items for w in q + a}))}
-        bags = [Counter(q + a) for _, q, a in items]
-        df = Counter(w for bag in bags for w in bag)
-        mean = sum(sum(b.values()) for b in bags) / len(bags)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
-        for i, ((_, q, a), bag) in enumerate(zip(items, bags)):
-            length = sum(bag.values())
-            impact = {w: log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for w, n in bag.items()}
-            gone = sorted(impact.values(), reverse=True)[: _may_miss(q, overlap) + _may_miss(a, overlap)]
-            least = max(sum(impact.values()) - sum(gone), 1e-9)
-            for w, x in impact.items():
-                lists[self.vocab[w]].append((i, x / least))
-        self.docs = [[i for i, _ in p] for p in lists]
-        self.impacts = [[x for _, x in p] for p in lists]
-        self.maxima = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
+        self.questions = _Lists("i", ([self.vocab[w] for w in q] for _, q, _ in items))
+        self.answers = _Lists("i", ([self.vocab[w] for w in a] for _, _, a in items))
+        c = all_items or Statistics.of(items)
         #: The largest impact of each word, and 0 for a word of no item.
-        self.upper = np.array([max(x) for x in self.impacts] + [0.0])
+        self.upper = np.zeros(len(self.vocab) + 1)
         #: The same for each of a few runs of items: most passages fall below the bound in every run.
         run = max(BLOCK, -(-len(items) // RUNS))
-        self.coarse = np.zeros((len(lists) + 1, -(-len(items) // run)), np.float32)
-        for t, p in enumerate(lists):
-            for i, x in p:
-                self.coarse[t, i // run] = max(self.coarse[t, i // run], x)
-        self.shingles = [(shingles([self.vocab[w] for w in q]), shingles([self.vocab[w] for w in a])) for _, q, a in items]
+        self.coarse = np.zeros((len(self.vocab) + 1, -(-len(items) // run)), np.float32)
+        numbers, terms, values = array("i"), array("i"), array("d")
+        for i, (_, q, a) in enumerate(items):
+            bag, length = Counter(q + a), len(q) + len(a)
+            impact = {w: log(1 + (c.items - c.df[w] + 0.5) / (c.df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length / c.mean)) for w, n in bag.items()}
+            gone = sorted(impact.values(), reverse=True)[: _may_miss(q, overlap) + _may_miss(a, overlap)]
+            least = max(sum(impact.values()) - sum(gone), 1e-9)
+            for w, x in impact.items():
+                t = self.vocab[w]
+                numbers.append(i)
+                terms.append(t)
+                values.append(x / least)
+                self.upper[t] = max(self.upper[t], x / least)
+                self.coarse[t, i // run] = max(self.coarse[t, i // run], x / least)
+        order = np.argsort(np.frombuffer(terms, np.int32), kind="stable") if terms else np.zeros(0, np.int64)
+        #: Where each word's list begins; its items, ascending, and their impacts.
+        self.at = array("q", [0, *accumulate(np.bincount(np.frombuffer(terms, np.int32), minlength=len(self.vocab)).tolist())]) if terms else array("q", [0])
+        self.numbers = array("i", np.frombuffer(numbers, np.int32)[order].tobytes()) if terms else array("i")
+        self.values = array("d", np.frombuffer(values, np.float64)[order].tobytes()) if terms else array("d")
+        #: The maxima of the lists' blocks, and where each list's begin.
+        self.maxima = _Lists("d", ([max(self.values[k : min(k + BLOCK, hi)]) for k in range(lo, hi, BLOCK)] for lo, hi in zip(self.at, self.at[1:])))
+
+    @property
+    def items(self) -> list[tuple[object, list[str], list[str]]]:
+        """The items that were indexed: (id, question's words, answer's words)."""
+        words = list(self.vocab)
+        return [(i, [words[t] for t in self.questions[k]], [words[t] for t in self.answers[k]]) for k, i in enumerate(self.ids)]
+
+    @property
+    def docs(self) -> list[list[int]]:
+        return [self.numbers[lo:hi].tolist() for lo, hi in zip(self.at, self.at[1:])]
+
+    @property
+    def impacts(self) -> list[list[float]]:
+        return [self.values[lo:hi].tolist() for lo, hi in zip(self.at, self.at[1:])]
 
     def search(self, terms: list[int], least: float = 1.0 - 1e-9) -> list[tuple[int, float]]:
         """(item, score) of every item whose normalised score for distinct `terms` is at least `least`.
@@ -105,9 +160,10 @@ class Index:
         can reach the bound; if the maxima of the blocks that hold it can't, all
         lists before it skip to where the first of these blocks ends.
         """
-        docs, impacts, maxima, upper = self.docs, self.impacts, self.maxima, self.upper
-        end, out = len(self.items), []
-        at = [[docs[t][0], 0, t] for t in terms]
+        numbers, values, begin, upper = self.numbers, self.values, self.at, self.upper
+        maxima, first = self.maxima.flat, self.maxima.at
+        end, out = len(self.ids), []
+        at = [[numbers[begin[t]], begin[t], t] for t in terms]
         while at:
             at.sort()
             total, pivot = 0.0, -1
@@ -124,25 +180,25 @@ class Index:
             # shallow move: the block of each list that could hold the pivot item
             bound, skip = 0.0, end
             for _, p, t in at[: pivot + 1]:
-                block = bisect_left(docs[t], item, p) // BLOCK
-                if block < len(maxima[t]):
-                    bound += maxima[t][block]
-                    last = docs[t][min((block + 1) * BLOCK, len(docs[t])) - 1]
-                    skip = min(skip, last + 1)
+                lo, hi = begin[t], begin[t + 1]
+                block = (bisect_left(numbers, item, p, hi) - lo) // BLOCK
+                if first[t] + block < first[t + 1]:
+                    bound += maxima[first[t] + block]
+                    skip = min(skip, numbers[min(lo + (block + 1) * BLOCK, hi) - 1] + 1)
             if bound < least:
                 target = max(item + 1, min(skip, at[pivot + 1][0] if pivot + 1 < len(at) else end))
             else:
                 target = item + 1
                 score = 0.0
-                for x in at[: pivot + 1]:
-                    p = bisect_left(docs[x[2]], item, x[1])
-                    if p < len(docs[x[2]]) and docs[x[2]][p] == item:
-                        score += impacts[x[2]][p]
+                for _, p, t in at[: pivot + 1]:
+                    p = bisect_left(numbers, item, p, begin[t + 1])
+                    if p < begin[t + 1] and numbers[p] == item:
+                        score += values[p]
                 if score >= least:
                     out.append((item, score))
             for x in at[: pivot + 1]:
-                x[1] = bisect_left(docs[x[2]], target, x[1])
-                x[0] = docs[x[2]][x[1]] if x[1] < len(docs[x[2]]) else end
+                x[1] = bisect_left(numbers, target, x[1], begin[x[2] + 1])
+                x[0] = numbers[x[1]] if x[1] < begin[x[2] + 1] else end
             at = [x for x in at if x[0] < end]
         return out
 
@@ -165,7 +221,7 @@ class Index:
             window = window.tolist()
             for item, score in self.search(terms.tolist()):
                 share = []
-                for part in self.shingles[item]:
+                for part in (shingles(self.questions[item]), shingles(self.answers[item])):
                     if not part:
                         share.append(1.0)
                         continue
@@ -178,19 +234,58 @@ class Index:
         return found
 
 
-def build(rows: list[tuple[object, str | None]], overlap: float) -> list[Index]:
-    """Indexes of (item_id, text) rows, one for each length class that has items."""
-    classes: dict[int, list] = {}
+def width_of(q: list[str], a: list[str]) -> int:
+    """The length class of an item: the longest that its items may have."""
+    n = len(q) + len(a)
+    width = next((c for c in CLASSES if n <= c), CLASSES[-1])
+    while width < n:
+        width *= 2
+    return width
+
+
+def build(rows: list[tuple[object, str | None]], overlap: float, classes: dict[int, Statistics] | None = None) -> list[Index]:
+    """Indexes of (item_id, text) rows, one for each length class that has items; `classes` are theirs if there are more items."""
+    parted: dict[int, list] = {}
     for item, text in rows:
         q, a = parts(text or "")
         if q or a:
-            width = next((c for c in CLASSES if len(q) + len(a) <= c), None)
-            if width is None:
-                width = CLASSES[-1]
-                while width < len(q) + len(a):
-                    width *= 2
-            classes.setdefault(width, []).append((item, q, a))
-    return [Index(items, width, overlap) for width, items in sorted(classes.items())]
+            parted.setdefault(width_of(q, a), []).append((item, q, a))
+    return [Index(items, width, overlap, classes and classes[width]) for width, items in sorted(parted.items())]
+
+
+def _described(items: DataFrame) -> DataFrame:
+    """(shard, width, words, terms) of the items (shard, text) that have words."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for shard, text in zip(b.column(0).to_pylist(), b.column(1)):
+                q, a = parts(text.as_py() or "")
+                if q or a:
+                    out.append((shard, width_of(q, a), len(q) + len(a), sorted({*q, *a})))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["shard", "width", "words", "terms"])
+
+    return items.select("shard", "text").mapInArrow(run, "shard long, width long, words long, terms array<string>")
+
+
+def _matcher(shared):
+    def run(batches):
+        indexes = opened(shared)
+        names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                if text:
+                    words = words_of(text.lower())
+                    for index in indexes:
+                        rows += [(doc, index.ids[i], *x) for i, x in sorted(index.leaks(words).items())]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
@@ -202,32 +297,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = int(chars // SHARD_CHARS + 1)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+
+    def index(k: int, classes=None) -> list[Index]:
+        rows = sorted(((r[0], r[1]) for r in items.where(F.col("shard") == k).select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        return build(rows, overlap, classes)
+
+    if shards == 1:
+        return src.mapInArrow(_matcher(ship(spark, index(0))), schema)
+    described = cut(_described(items))
+    sizes = {r["width"]: (r["n"], r["words"] / r["n"]) for r in described.groupBy("width").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()}
+    terms = described.select("shard", "width", F.explode("terms").alias("term"))
+    df = cut(terms.groupBy("width", "term").agg(F.count("*").alias("df")))
+    out = []
     for k in range(shards):
-        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        shared = ship(spark, build(rows, overlap))
-
-        def run(batches, shared=shared):
-            indexes = opened(shared)
-            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            for b in batches:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    text = text.as_py()
-                    if text:
-                        words = words_of(text.lower())
-                        for index in indexes:
-                            rows += [(doc, index.items[i][0], *x) for i, x in sorted(index.leaks(words).items())]
-                cols = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-        part = src.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+        classes = {w: Statistics(n, mean, {}) for w, (n, mean) in sizes.items()}
+        for r in terms.where(F.col("shard") == k).select("width", "term").distinct().join(df, ["width", "term"]).collect():  # a shard's words
+            classes[r["width"]].df[r["term"]] = r["df"]
+        shared = ship(spark, index(k, classes))
+        out.append(cut(src.mapInArrow(_matcher(shared), schema)))
+        shared.unpersist()  # one shard's index at a time
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionAll(part)
+    return whole
 
 
 def leaky_removed(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
