@@ -13,7 +13,9 @@ texts count, in training and in scoring.
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 so is everything if no row has a label; rows with a null doc_id aren't learned
 from and count as not held out; repeated rows are rows; ties go to the language
-that sorts first.
+that sorts first; very long texts are scored whole, in slices; an empty table gives
+an empty result; other columns, whatever their names, are not read; more than
+`MAX_LANGUAGES` labels raise, as the matrix has a row for each.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ UNDETERMINED = "und"
 #: Characters that are scored at once.
 CHUNK = 1 << 19
 
-_letter = re.compile(r"[^\W\d_]").search
+_wordlike = re.compile(r"[^\W\d_]").finditer
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -44,6 +46,11 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numerals such as fractions and superscripts are none."""
+    return any(m[0].isalpha() for m in _wordlike(text))
+
+
 def grams(text: str) -> np.ndarray:
     """Buckets of a text's n-grams: lower case, runs of other than letters as one blank."""
     flat = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
@@ -70,7 +77,7 @@ class Model:
         self.prior = np.log((rows + ALPHA) / (rows + ALPHA).sum()) if languages else np.zeros(0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [t is not None and _letter(t) is not None and bool(self.languages) for t in texts]
+        known = [t is not None and has_letter(t) and bool(self.languages) for t in texts]
         total = np.zeros((len(texts), len(self.languages)))
         waiting: list[tuple[int, np.ndarray]] = []
         size = 0
