@@ -14,7 +14,9 @@ count, in training and in scoring.
 Defined results: null texts are empty; empty texts are scored like any other; a
 table without labels of both kinds gives every row the share of label 1 there is,
 or 0.5; a doc_id with several labels takes the largest; rows with a null doc_id
-have no label and count as not held out; repeated rows are rows.
+have no label and count as not held out; repeated rows are rows; ties of scores
+share a level; very long texts are described whole; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from assayer.llm.quality_rules import STOP_WORDS
 
 #: Labelled rows that the classifier is fitted and calibrated on, at most about.
 SAMPLE = 20_000
+#: Partitions that the sample's statistics are summed in; each sends its sums, half a megabyte, to the driver.
+PARTS = 16
 FEATURES = 256
 RIDGE = 1.0
 SEED = 11
@@ -162,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     split = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(100)) < CALIBRATE
     rows = texts.select("text", F.col("quality").cast("double").alias("y"), split.alias("calibrate"))
-    rows = cut(rows.mapInArrow(describe, "stats array<double>, y double, calibrate boolean"))
+    # few partitions: each gives its sums, whatever the number of files the texts came from
+    rows = cut(rows.mapInArrow(describe, "stats array<double>, y double, calibrate boolean").repartition(PARTS))
     d = len(statistics(""))
     fit = rows.where("not calibrate")
     sums = fit.agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *[f(F.col("stats")[i]).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -174,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     size = FEATURES + 1
     left, right = RIDGE * np.eye(size), np.zeros(size)
     left[-1, -1] = 1e-6
-    for r in fit.select("stats", "y").mapInArrow(_partition_sums(model), "left binary, right binary").toLocalIterator():
+    for r in fit.select("stats", "y").mapInArrow(_partition_sums(model), "left binary, right binary").collect():  # at most PARTS rows
         left += np.frombuffer(r["left"]).reshape(size, size)
         right += np.frombuffer(r["right"])
     model.weights = solve(left, right)
