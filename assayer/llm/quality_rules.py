@@ -6,11 +6,13 @@ no state between rows.
 
 Words are maximal runs of characters other than space and \\t \\n \\v \\f \\r.
 Repeated five-word windows are found by 64-bit hashes of the windows within one
-text, so that two different windows of a text would have to collide to count as
-equal (about 1 in 10^11 for a text of 20,000 words).
+text; those whose hashes repeat are then compared word for word, so that the count
+is exact.
 
 Defined results: a null text has no words; texts without words fail the base rule;
-rates over no words or no lines are 0; repeated rows stay.
+rates over no words or no lines are 0; a value at a threshold keeps the text; very
+long texts are judged whole; repeated rows stay; an empty table gives an empty
+result; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -106,14 +108,18 @@ def repeated_words(words: Column, size: int = 5) -> Column:
         total = F.aggregate(starts, F.struct(F.lit(0).alias("sum"), F.lit(-size).alias("last")), lambda s, i: F.struct((s["sum"] + F.least(F.lit(size), i - s["last"])).alias("sum"), i.alias("last")))
         return total["sum"]
 
-    def repeats(windows: Column) -> Column:
-        def starts(by: Column) -> Column:
-            same = lambda k, j: F.get(by, k)["h"] == F.get(by, j)["h"]
-            twice = F.filter(F.sequence(F.lit(0), F.size(by) - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-            return F.sort_array(F.transform(twice, lambda k: F.get(by, k)["i"]))
+    def starts(by: Column) -> Column:
+        # of (h, i) in order of h: the places i whose h is there twice or more
+        same = lambda k, j: F.get(by, k)["h"] == F.get(by, j)["h"]
+        twice = F.filter(F.sequence(F.lit(0), F.size(by) - 1), lambda k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
+        return F.sort_array(F.transform(twice, lambda k: F.get(by, k)["i"]))
 
+    def repeats(windows: Column) -> Column:
         by_hash = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(by_hash, lambda by: covered(starts(by))))
+        # words hold no blanks, so that a window is its words joined by them
+        spelt = lambda at: F.sort_array(F.transform(at, lambda i: F.struct(F.array_join(F.slice(words, i + 1, size), " ").alias("h"), i.alias("i"))))
+        exact = let(let(by_hash, starts), lambda at: F.when(F.size(at) > 0, let(spelt(at), starts)).otherwise(at))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(exact, covered))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     windows = let(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)])))
