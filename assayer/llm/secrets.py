@@ -17,7 +17,10 @@ All of it is column expressions, one aggregate and one join with a table of
 thresholds whose size is fixed by the number of strata.
 
 Defined results: a null text is empty; texts without finds have counts 0, empty
-spans and the digest of the empty string; repeated rows stay.
+spans and the digest of the empty string; very long texts are scanned whole; of
+patterns that match at one place each kind has its own span; p-values of one bin are
+flagged or not together; repeated rows stay; an empty table gives an empty result;
+other columns, whatever their names, come back or aren't read.
 """
 
 from __future__ import annotations
@@ -63,6 +66,24 @@ ENCODINGS = (
 )
 
 
+def running(values: Column, zero, merge) -> Column:
+    """For each value, the fold of those before it.
+
+    In blocks of about the square root of their number, so that a text with very
+    many matches doesn't take a step for every pair of them.
+    """
+    start = F.lit(zero)
+    fold = lambda a: F.aggregate(a, start, merge)
+
+    def of(v: Column) -> Column:
+        width = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"))
+        whole = lambda i, w: F.floor(i / w).cast("int")
+        blocks = lambda w: F.transform(F.sequence(F.lit(0), whole(F.greatest(F.size(v) - 1, F.lit(0)), w)), lambda k: fold(F.slice(v, k * w + 1, w)))
+        return let(width, lambda w: let(blocks(w), lambda f: F.transform(v, lambda _, i: merge(fold(F.slice(f, F.lit(1), whole(i, w))), fold(F.slice(v, whole(i, w) * w + 1, i % w))))))
+
+    return let(values, of)
+
+
 def matches(text: Column, kind: str, order: int, pattern: str, hints=()) -> Column:
     """The pattern's leftmost matches that don't overlap, as array of (start, order, kind, end, found).
 
@@ -71,16 +92,14 @@ def matches(text: Column, kind: str, order: int, pattern: str, hints=()) -> Colu
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,found:string>>")
-    none = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (start + F.length(x["found"])).alias("end"), x["found"].alias("found"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
-    spans = F.aggregate(pairs, none, step, lambda s: s["out"])
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["found"]))
+    spans = let(pairs, lambda p: F.zip_with(p, running(sizes(p), 0, lambda a, n: a + n), span))
     if hints:
         low = F.lower(text)
         hit = F.lit(False)
@@ -256,14 +275,11 @@ def secrets_masked(docs: DataFrame, rate: float = 0.05, mask: str = "[SECRET]")
     """
     s = scan(docs, rate)
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        new = x["start"] >= a["at"]
-        out = F.when(new, F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    text = F.col("text")
+    reach = running(F.transform("spans", lambda x: x["end"]), 0, lambda a, b: F.greatest(a, b))
+    piece = lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), F.lit(mask))).otherwise("")
+    rest = F.substring(text, F.array_max(F.transform("spans", lambda x: x["end"])) + 1, F.length(text))
+    masked = F.concat(F.array_join(F.zip_with("spans", reach, piece), ""), rest)
     s = s.select("row", F.when(F.size("spans") > 0, masked).alias("masked"))
     names = docs.columns
     kind = dict(docs.dtypes)
@@ -284,15 +300,16 @@ def oracle_sql(rate: float = 0.05) -> str:
 
     Offsets are running sums over what a split by each pattern leaves. The battery's
     tokens, which the main path finds by looking around them, are whole runs of
-    encoding characters here.
+    encoding characters here, with the '=' that follow, and none where another run
+    follows these.
     """
 
     def found(name: str, pattern: str) -> str:
         p = pattern.replace("'", "''")
         return rf"""{name}_m AS (SELECT doc_id, unnest(f) AS found, unnest(g[1:len(f)]) AS gap, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, regexp_split_to_array(text, '{p}') AS g FROM d)),
-{name} AS (SELECT doc_id, found, (sum(length(gap)) OVER w + sum(length(found)) OVER w - length(found))::BIGINT AS s, (sum(length(gap)) OVER w + sum(length(found)) OVER w)::BIGINT AS e FROM {name}_m WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+{name} AS (SELECT doc_id, found, coalesce(lead(gap) OVER w = '', false) AS joined, (sum(length(gap)) OVER w + sum(length(found)) OVER w - length(found))::BIGINT AS s, (sum(length(gap)) OVER w + sum(length(found)) OVER w)::BIGINT AS e FROM {name}_m WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
-    parts = [found(k, p) for k, (p, _, _) in BASE.items()] + [found("run", "[A-Za-z0-9+/_=-]+")]
+    parts = [found(k, p) for k, (p, _, _) in BASE.items()] + [found("run", "[A-Za-z0-9+/_-]+=*")]
     assign = BASE["assign"][0].replace("'", "''")
     needs = {"hex": ("[0-9]", "[a-f]"), "HEX": ("[0-9]", "[A-F]"), "base32": ("[2-7]", "[A-Z]"), "alnum36": ("[0-9]", "[a-z]"), "ALNUM36": ("[0-9]", "[A-Z]")}
     every = ("[0-9]", "[a-z]", "[A-Z]")
@@ -304,21 +321,23 @@ def oracle_sql(rate: float = 0.05) -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)},
 base AS (SELECT doc_id, s, 0 AS o, 'assign' AS kind, e FROM assign WHERE length(regexp_extract(found, '{assign}', 2)) >= 6
   UNION ALL SELECT doc_id, s, 1, 'access', e FROM access UNION ALL SELECT doc_id, s, 2, 'hex', e FROM hex),
-token AS (SELECT doc_id, s, e, found, {case(lambda e: f"'{e.name}'")} AS enc, {case(lambda e: f"'{e.alphabet}'")} AS alphabet FROM run WHERE regexp_matches(found, '^[A-Za-z0-9+/_-]{{20,}}={{0,2}}$')),
-coded AS (SELECT doc_id, s, e, enc || ':' || CASE WHEN length(found) < 28 THEN 0 WHEN length(found) < 40 THEN 1 WHEN length(found) < 56 THEN 2 WHEN length(found) < 80 THEN 3 ELSE 4 END AS stratum, length(alphabet)::DOUBLE AS k,
+token AS (SELECT doc_id, s, e, found, {case(lambda e: f"'{e.name}'")} AS enc, {case(lambda e: f"'{e.alphabet}'")} AS alphabet FROM run WHERE regexp_matches(found, '^[A-Za-z0-9+/_-]{{20,}}={{0,2}}$') AND NOT (joined AND suffix(found, '='))),
+coded AS (SELECT doc_id, s, e, found, enc || ':' || CASE WHEN length(found) < 28 THEN 0 WHEN length(found) < 40 THEN 1 WHEN length(found) < 56 THEN 2 WHEN length(found) < 80 THEN 3 ELSE 4 END AS stratum, length(alphabet)::DOUBLE AS k,
   list_transform(string_split(translate(regexp_replace(found, '=+$', ''), '-_', '+/'), ''), lambda c: (instr(alphabet, c) - 1)::DOUBLE) AS v FROM token WHERE enc IS NOT NULL),
 moment AS (SELECT *, len(v)::DOUBLE AS n, list_sum(v) / len(v) AS mean, list_sum(list_transform(v, lambda x: x * x)) AS square FROM coded),
 sums AS (SELECT *, coalesce(list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))), 0) AS lagged,
   len(list_filter(range(1, len(v)), lambda i: (v[i] < k / 2) <> (v[i + 1] < k / 2))) AS changes, list_sum(list_transform(list_distinct(v), lambda c: len(list_filter(v, lambda x: x = c)) ** 2)) AS squares FROM moment),
 zs AS (SELECT *, (squares * k / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z1, abs((changes - (n - 1) / 2) / sqrt((n - 1) / 4)) AS z2,
   CASE WHEN square - n * mean * mean > 1e-9 THEN abs(lagged / (square - n * mean * mean) * sqrt(n)) ELSE 40 END AS z3 FROM sums),
-tails AS (SELECT doc_id, s, e, stratum, list_transform([z1, z2, z3], lambda y: [y, abs(y), 1 / (1 + 0.3275911 * abs(y) / sqrt(2))]) AS q FROM zs),
-ps AS (SELECT doc_id, s, e, stratum, list_transform(q, lambda y: [y[1], {tail.replace("z * z", "y[2] * y[2]").replace("t *", "y[3] *")}]) AS q FROM tails),
-binned AS (SELECT doc_id, s, e, stratum, least(floor((1 - pow(1 - least(1, CASE WHEN q[1][1] >= 0 THEN q[1][2] ELSE 1 - q[1][2] END, 2 * q[2][2], 2 * q[3][2]), 3)) * {BINS}), {BINS - 1})::INT AS bin FROM ps),
-hist AS (SELECT g.stratum, g.b AS bin, count(x.bin) AS n FROM (SELECT DISTINCT stratum, b FROM binned, range({BINS}) r(b)) g LEFT JOIN binned x ON x.stratum = g.stratum AND x.bin = g.b GROUP BY ALL),
+tails AS (SELECT doc_id, s, e, found, stratum, list_transform([z1, z2, z3], lambda y: [y, abs(y), 1 / (1 + 0.3275911 * abs(y) / sqrt(2))]) AS q FROM zs),
+ps AS (SELECT doc_id, s, e, found, stratum, list_transform(q, lambda y: [y[1], {tail.replace("z * z", "y[2] * y[2]").replace("t *", "y[3] *")}]) AS q FROM tails),
+binned AS (SELECT doc_id, s, e, found, stratum, least(floor((1 - pow(1 - least(1, CASE WHEN q[1][1] >= 0 THEN q[1][2] ELSE 1 - q[1][2] END, 2 * q[2][2], 2 * q[3][2]), 3)) * {BINS}), {BINS - 1})::INT AS bin FROM ps),
+free AS (SELECT * FROM binned b WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.s < b.e AND b.s < x.e)),
+kinds AS (SELECT DISTINCT stratum, bin, found FROM free),
+hist AS (SELECT g.stratum, g.b AS bin, count(x.bin) AS n FROM (SELECT DISTINCT stratum, b FROM kinds, range({BINS}) r(b)) g LEFT JOIN kinds x ON x.stratum = g.stratum AND x.bin = g.b GROUP BY ALL),
 above AS (SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS a, 2.0 * sum(n) FILTER (bin >= {BINS // 2}) OVER (PARTITION BY stratum) AS r FROM hist),
 least_bin AS (SELECT stratum, coalesce(min(bin) FILTER (a - r * ({BINS} - bin) / {BINS} <= {rate} * a), {BINS // 2}) AS least FROM above WHERE r > 0 GROUP BY stratum),
-random AS (SELECT doc_id, s, 3 AS o, 'random' AS kind, e FROM binned b JOIN least_bin USING (stratum) WHERE bin >= least AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.s < b.e AND b.s < x.e)),
+random AS (SELECT doc_id, s, 3 AS o, 'random' AS kind, e FROM free JOIN least_bin USING (stratum) WHERE bin >= least),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM random),
 joined AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, count(*) AS n,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM spans GROUP BY doc_id)
