@@ -11,11 +11,17 @@ differ between Unicode versions of the two pattern libraries send the whole text
 through the tokenizer itself, so counts never depend on the shortcut.
 
 Defined results: null counts as empty; empty texts have 0 tokens; special strings
-inside a text are tokens of their own, the library's default.
+inside a text are tokens of their own, the library's default; a file with another
+split, a normaliser, a prefix space or other settings than plain byte-level BPE is
+counted by the library alone, and truncation or padding in it are switched off;
+very long texts are counted whole; repeated rows are rows; an empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -57,6 +63,26 @@ def whole_tokens(tokenizer: Tokenizer) -> list[str]:
     return out
 
 
+def loaded(spec: str) -> Tokenizer:
+    """The tokenizer, without the truncation and padding that its file may ask for."""
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def is_plain(spec: str) -> bool:
+    """Whether a tokenizer's file is byte-level BPE of the published split, with nothing that changes texts or merges."""
+    s = json.loads(spec)
+    split, model = s.get("pre_tokenizer") or {}, s.get("model") or {}
+    return (
+        not s.get("normalizer")
+        and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    )
+
+
 class _Counts(dict):
     """Tokens of each pre-token: proven ones, and those merged so far."""
 
@@ -76,12 +102,12 @@ class Counter:
     """Counts the tokens of texts in one process."""
 
     def __init__(self, spec: str, whole: list[str]):
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer = loaded(spec)
         self.counts = _Counts(whole, self.tokenizer.model)
         self.split = regex.compile(PATTERN).findall
         self.odd = regex.compile(SETTLED).search
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        plain = all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values())
+        plain = is_plain(spec) and all(t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.special = special if plain else None
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))).split if special and plain else None
 
@@ -105,10 +131,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """
     with open(path, encoding="utf-8") as f:
         spec = f.read()
-    tokenizer = Tokenizer.from_str(spec)
+    tokenizer = loaded(spec)
     if len(spec) > 64 << 20:
         raise ValueError("the vocabulary is too large to broadcast")
-    shared = docs.sparkSession.sparkContext.broadcast((spec, whole_tokens(tokenizer)))
+    shared = docs.sparkSession.sparkContext.broadcast((spec, whole_tokens(tokenizer) if is_plain(spec) else []))
 
     def run(batches):
         key, cache = ("tokens", path, len(spec)), worker_cache()
