@@ -55,19 +55,19 @@ class Written:
     application.
     """
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, folder: str | None = None):
         spark = df.sparkSession
         with_checkpoints(spark)
-        folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        folder = folder or f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
         df.write.parquet(folder)
         self.frame = spark.read.schema(df.schema).parquet(folder)
         self.path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.files.deleteOnExit(self.path)
 
-    def next(self, df: DataFrame) -> Written:
+    def next(self, df: DataFrame, folder: str | None = None) -> Written:
         """`df` written in its turn; this table, which `df` may read, goes."""
-        new = Written(df)
+        new = Written(df, folder)
         self.files.delete(self.path, True)
         return new
 

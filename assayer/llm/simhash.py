@@ -243,14 +243,15 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def labelled(rows: DataFrame, links) -> DataFrame:
+def labelled(rows: DataFrame, groups) -> DataFrame:
     """`rows` (doc_id, key, fp) with their component, its smallest doc_id as component_id, and the key of a row that has it.
 
-    links: from the distinct values of fp to edges (a, b) of them.
+    groups: from the distinct values of fp to (node, component) of those that are
+    linked to others.
     """
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
     distinct = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
-    found = connected_components(links(distinct))
+    found = groups(distinct)
     member = cut(found.join(distinct.withColumnRenamed("fp", "node"), "node"))
     least = member.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("size")).withColumnRenamed("size", "n")
     linked = attach(member.drop("n"), least, "component", member.count()).select(F.col("node").alias("fp"), "component", "least")
@@ -265,7 +266,7 @@ def simhash_components(docs: DataFrame, radius: int = 2, size: int = 3) -> DataF
     component_id is the smallest doc_id that links of at most `radius` differing
     bits reach, itself included.
     """
-    out = labelled(cut(fingerprints(docs, size)), lambda distinct: near_links(distinct, radius))
+    out = labelled(cut(fingerprints(docs, size)), lambda distinct: connected_components(near_links(distinct, radius)))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -277,13 +278,13 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) ->
     aren't near copies all stay; of rows alike in both one is kept. Rows without
     a doc_id can't be told apart and stay. An empty table gives an empty result.
     """
-    return first_of_each(docs, labelled(cut(fingerprints(docs, size)), lambda distinct: near_links(distinct, radius)))
+    return first_of_each(docs, labelled(cut(fingerprints(docs, size)), lambda distinct: connected_components(near_links(distinct, radius))))
 
 
 def near_copies_removed(docs: DataFrame, least: float = near_copies.LEAST, size: int = near_copies.SIZE) -> DataFrame:
     """As near_duplicates_removed, for near copies by word shingles (see `near_copies`)."""
     rows = cut(near_copies.sketches(docs, size))
-    return first_of_each(docs, labelled(rows.select("doc_id", "key", "fp"), lambda _: near_copies.near_copy_links(docs, rows, least, size)))
+    return first_of_each(docs, labelled(rows.select("doc_id", "key", "fp"), lambda _: near_copies.near_copy_groups(docs, rows, least, size)))
 
 
 def first_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:
