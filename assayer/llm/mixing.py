@@ -9,17 +9,27 @@ any number T of slots a source has had w T blocks, give or take less than one.
 Weights are whole numbers, so the schedule repeats after as many slots as the
 weights sum to. That cycle is planned once, from the weights and the number of
 blocks of each source alone; a row's slot then follows from its number within its
-source by arithmetic and two joins with small tables whose sizes are bounded by
-`MAX_SOURCES` and `MAX_CYCLE`. When a source has run out, a new phase begins
-with the weights of the sources that are left, so every row gets a slot.
+source by arithmetic and two joins with tables whose sizes are bounded by
+`MAX_SOURCES` and `MAX_CYCLE`, the second written to the shared folder. When a source
+has run out, a new phase begins with the weights of the sources that are left, so
+every row gets a slot.
+
+The schedule holds `MAX_SOURCES` streams. Where there are more sources, those with a
+weight of their own come first, then the larger ones; all others flow together as one
+stream, in hash order, with the sum of their weights (as much of it as `MAX_CYCLE`
+leaves). That stream keeps its target as any source does; its sources share it in
+proportion to their rows.
 
 Rows are numbered in two steps, within (source, hash bucket) and by the buckets'
 running totals, so a source with any share of all rows is spread over many tasks.
 
 Defined results: a null source is a source of its own; sources without a weight
 get `default_weight`; repeated rows are rows; rows of equal hash and doc_id are
-ordered by n_chars and text where they exist, and are alike otherwise; an empty
-table gives an empty result.
+ordered by n_chars and text where they exist, and are alike otherwise; null doc_ids
+are ordered by the hash of n_chars, if there is one; null, empty and very long texts don't
+matter; other columns, whatever their names, come back; an empty table gives an
+empty result; weights that aren't whole numbers from 1, or whose sum `MAX_CYCLE` can't
+hold, raise.
 """
 
 from __future__ import annotations
@@ -32,6 +42,9 @@ from math import ceil, gcd, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.llm.common import BROADCAST_KEYS, cut
+
+#: Streams of the schedule; further sources share the last one.
 MAX_SOURCES = 256
 #: The largest sum of weights, which is the length of the schedule's cycle.
 MAX_CYCLE = 8192
@@ -79,7 +92,8 @@ def plan(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[dict]:
         end = min(slot_of(s, n - 1) for s, n in left.items()) + 1
         for s in list(left):
             n = end // length * len(slots[s]) + sum(x < end % length for x in slots[s])
-            phases.append({"phase": phase, "begin": begin, "length": length, "source": s, "first": done[s], "count": n, "slots": slots[s]})
+            used = slots[s] if end >= length else slots[s][:n]
+            phases.append({"phase": phase, "begin": begin, "length": length, "source": s, "first": done[s], "count": n, "share": len(slots[s]), "slots": used})
             done[s] += n
             left[s] -= n
             if not left[s]:
@@ -93,6 +107,37 @@ def _small(spark, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+#: Rows of a plan's literal; longer tables are written piece by piece.
+LITERAL = 20_000
+
+
+def _table(spark, rows: list[dict], schema: str) -> DataFrame:
+    """The same for more rows: no plan holds more than LITERAL of them."""
+    if len(rows) <= LITERAL:
+        return _small(spark, rows, schema)
+    pieces = [cut(_small(spark, rows[k : k + LITERAL], schema)) for k in range(0, len(rows), LITERAL)]
+    whole = pieces[0]
+    for p in pieces[1:]:
+        whole = whole.unionAll(p)
+    return whole
+
+
+def stream_weights(alone: list[str], given: Mapping[str, int], default_weight: int, others: int) -> dict[str, int]:
+    """The weight of each stream: of the sources on their own, and of the one that `others` share."""
+    if any(not isinstance(w, int) or w < 1 for w in (*given.values(), default_weight)):
+        raise ValueError("weights are whole numbers from 1")
+    weight = {s: given.get(s, default_weight) for s in alone}
+    if others:
+        weight[REST] = max(1, min(others * default_weight, MAX_CYCLE - sum(weight.values())))
+    if sum(weight.values()) > MAX_CYCLE:
+        raise ValueError(f"the weights' sum is at most {MAX_CYCLE}")
+    return weight
+
+
+#: The stream that sources beyond MAX_SOURCES share.
+REST = "rest"
+
+
 def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = 2, block: int = 64) -> DataFrame:
     """Every row of `docs` (doc_id, source) as struct `row`, with its place in the mix.
 
@@ -102,25 +147,31 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     """
     spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("s:"), F.col("row.source").cast("string")), F.lit("null"))
-    keyed = docs.select(F.struct("*").alias("row")).select("row", name.alias("key"), hash_of(F.col("row.doc_id")).alias("h"))
+    more = [c for c in ("n_chars",) if c in docs.columns]
+    keyed = docs.select(F.struct("*").alias("row")).select("row", name.alias("key"), hash_of(F.col("row.doc_id"), [F.col(f"row.{c}") for c in more]).alias("h"))
 
     total = docs.count()
     bits = min(20, max(6, ceil(log2(max(1, total) / BUCKET_ROWS)) if total > BUCKET_ROWS else 6))
-    few = docs.select(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("key"), bucket_of(hash_of(F.col("doc_id")), bits).alias("bucket"))
-    per_bucket = few.groupBy("key", "bucket").agg(F.count("*").alias("n"))
-    per_source = per_bucket.groupBy("key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    if total == 0:
-        per_source = []
+    few = docs.select(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("key"), bucket_of(hash_of(F.col("doc_id"), [F.col(c) for c in more]), bits).alias("bucket"))
     given = {f"s:{s}": w for s, w in weights.items()}
-    weight = {r["key"]: given.get(r["key"], default_weight) for r in per_source}
-    if any(not isinstance(w, int) or w < 1 for w in weight.values()) or sum(weight.values()) > MAX_CYCLE:
-        raise ValueError(f"weights are whole numbers from 1 whose sum is at most {MAX_CYCLE}")
-    phases = plan({r["key"]: -(-r["n"] // block) for r in per_source}, weight)
+    # the largest sources and those with a weight; one row more tells whether there are others
+    sizes = few.groupBy("key").agg(F.count("*").alias("n"))
+    first = sizes.orderBy(~F.col("key").isin(list(given)), F.desc("n"), "key").limit(MAX_SOURCES).collect()
+    if len(first) == MAX_SOURCES and (others := sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first())["k"] > MAX_SOURCES:
+        alone = first[: MAX_SOURCES - 1]
+        keep = F.broadcast(_small(spark, [{"key": r["key"]} for r in alone], "key string").withColumn("own", F.lit(True)))
+        joint = lambda df: df.join(keep, "key", "left").withColumn("key", F.when(F.col("own"), F.col("key")).otherwise(REST)).drop("own")
+        keyed, few = joint(keyed), joint(few)
+        rows = {r["key"]: r["n"] for r in alone} | {REST: others["n"] - sum(r["n"] for r in alone)}
+        weight = stream_weights([r["key"] for r in alone], given, default_weight, others["k"] - len(alone))
+    else:
+        rows = {r["key"]: r["n"] for r in first}
+        weight = stream_weights(list(rows), given, default_weight, 0)
+    per_bucket = few.groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    phases = plan({s: -(-n // block) for s, n in rows.items()}, weight)
 
-    spans = _small(spark, [{k: p[k] for k in ("source", "phase", "begin", "length", "first", "count")} | {"share": len(p["slots"])} for p in phases], "source string, phase int, begin long, length int, first long, count long, share int")
-    cycles = _small(spark, [{"source": p["source"], "phase": p["phase"], "k": k, "at": x} for p in phases for k, x in enumerate(p["slots"])], "source string, phase int, k int, at int")
+    spans = _table(spark, [{k: p[k] for k in ("source", "phase", "begin", "length", "first", "count", "share")} for p in phases], "source string, phase int, begin long, length int, first long, count long, share int")
+    cycles = _table(spark, cycle_rows := [{"source": p["source"], "phase": p["phase"], "k": k, "at": x} for p in phases for k, x in enumerate(p["slots"])], "source string, phase int, k int, at int")
 
     running = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("key", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
@@ -134,7 +185,8 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     placed = placed.join(s, "key").where((F.col("block") >= F.col("first")) & (F.col("block") < F.col("first") + F.col("count")))
     j = F.col("block") - F.col("first")
     placed = placed.withColumn("j", j).withColumn("k", (j % F.col("share")).cast("int"))
-    placed = placed.join(F.broadcast(cycles.withColumnRenamed("source", "key")), ["key", "phase", "k"])
+    cycles = cycles.withColumnRenamed("source", "key")
+    placed = placed.join(F.broadcast(cycles) if len(cycle_rows) <= BROADCAST_KEYS else cycles, ["key", "phase", "k"])
     slot = F.col("begin") + F.expr("j div share") * F.col("length") + F.col("at")
     release = F.expr("(j * length) div share")
     deadline = F.expr("((j + 1) * length + share - 1) div share")
@@ -144,9 +196,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     )
 
 
-def hash_of(doc_id: Column) -> Column:
-    """What a source's rows are ordered by, before doc_id itself."""
-    return F.coalesce(F.md5(doc_id.cast("string").cast("binary")), F.lit(""))
+def hash_of(doc_id: Column, more: list[Column]) -> Column:
+    """What a source's rows are ordered by, before doc_id itself; `more` stands in for a null doc_id."""
+    rest = F.md5(F.concat_ws(":", *[c.cast("string") for c in more]).cast("binary"))
+    return F.coalesce(F.md5(doc_id.cast("string").cast("binary")), rest)
 
 
 def bucket_of(h: Column, bits: int) -> Column:

@@ -2,6 +2,8 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from assayer.llm import mixing as M
 
@@ -77,7 +79,34 @@ def test_limits_are_checked(spark, docs):
     with pytest.raises(ValueError):
         M.mix_order(docs([(1, "x", "en", "a")]), {"a": 0})
     with pytest.raises(ValueError):
-        M.mix_order(docs([(k, "x", "en", f"s{k}") for k in range(300)]))
+        M.mix_order(docs([(1, "x", "en", "a")]), {"a": M.MAX_CYCLE + 1})
+
+
+def test_thousands_of_sources(spark, docs):
+    weights = {"s1999": 50, "s5": 3}
+    rows = [(k, "t", "en", f"s{k % 2000}" if k % 3 else "hot") for k in range(6000)]
+    got = M.mix_order(docs(rows), weights, 2, 4).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6000)) and len({r.position for r in got}) == 6000
+    largest = sorted(Counter(r.source for r in got).items(), key=lambda x: (x[0] not in weights, -x[1], f"s:{x[0]}"))
+    alone = {s for s, _ in largest[: M.MAX_SOURCES - 1]}
+    assert {"hot", *weights} <= alone
+    joint = [Row(**r.asDict() | {"source": r.source if r.source in alone else M.REST}) for r in got]
+    named = {s: weights.get(s, 2) for s in alone}
+    check(joint, named | {M.REST: (2001 - len(alone)) * 2}, 2, 4)
+
+
+def test_weights_of_many_kinds(spark, docs, monkeypatch):
+    monkeypatch.setattr(M, "LITERAL", 50)
+    rows = [(k, "t", "en", f"s{k % 40}") for k in range(1500)]
+    weights = {f"s{k}": 1 + k * k % 37 for k in range(40)}
+    check(M.mix_order(docs(rows), weights, 2, 8).collect(), weights, 2, 8)
+
+
+def test_null_ids_are_spread_over_buckets(spark, docs):
+    df = docs([(None, f"text {k}" * (k % 50), "en", "a") for k in range(500)])
+    m = M.mix(df, {"a": 1}, 1, 8).select("position", "row.text").collect()
+    assert len({r.position for r in m}) == 500
+    assert df.select(M.bucket_of(M.hash_of(F.col("doc_id"), [F.col("n_chars")]), 6).alias("b")).distinct().count() > 20
 
 
 def test_plan_is_native(spark, docs):
