@@ -7,7 +7,6 @@ lexicographically first maximal independent set, in rounds.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.transforms import lin_thresh
+from assayer.operators.order import rank
+from assayer.operators.shared import cut
 from assayer.operators.tiles import TILE, _packed, tanimoto
 
 
@@ -67,13 +68,6 @@ def passes(filtered: Column, raw: Column) -> Column:
 # --- leaders -----------------------------------------------------------------
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assayer-"))
-    return df.checkpoint()
-
-
 def near_pairs(rows: DataFrame, at_least: float, id: str = "idx", words: str = "words") -> DataFrame:
     """(a, b, sim) with a < b of all pairs at least so similar, compared in tiles."""
     x = rows.select(F.col(id).cast("long").alias("id"), F.col(words).alias("words"))
@@ -116,22 +110,32 @@ def _followers(table):
     return pa.table({"id": pa.array(sorted(out), pa.int64())})
 
 
-def leaders(ids: DataFrame, pairs: DataFrame, id: str = "idx", max_rounds: int = 200) -> DataFrame:
+def leaders(ids: DataFrame, pairs: DataFrame, id: str = "idx", parallel_rounds: int = 50) -> DataFrame:
     """(id) of the rows that no earlier leader is near: the greedy pass, in rounds.
 
-    Up to ONE_TASK pairs are walked by one task. Beyond that, each round accepts
-    undecided rows without an undecided earlier neighbour, and drops the neighbours
-    of those.
+    Each round accepts undecided rows without an undecided earlier neighbour, and
+    drops the neighbours of those. Once ONE_TASK pairs or fewer are left, one task
+    walks them. Long chains of neighbours would take a round for every two of them:
+    after `parallel_rounds`, a round is the walk over the earliest pairs, about
+    ONE_TASK / 2 of them, so that any table is done in a bounded number of rounds.
     """
     pairs = cut(pairs.select("a", "b"))
-    if pairs.count() <= ONE_TASK:
-        followers = pairs.groupBy(F.lit(1).alias("_g")).applyInArrow(_followers, "id long")
-        return cut(ids.select(F.col(id).cast("long").alias("id")).join(followers, "id", "left_anti"))
     undecided = cut(ids.select(F.col(id).cast("long").alias("id")))
-    chosen = None
-    for _ in range(max_rounds):
-        blocked = pairs.select(F.col("b").alias("id")).distinct()
-        accepted = undecided.join(blocked, "id", "left_anti")
+    walked = lambda p: p.groupBy(F.lit(1).alias("_g")).applyInArrow(_followers, "id long")
+    chosen, rounds = None, 0
+    while True:
+        n = pairs.count()
+        if n <= ONE_TASK:
+            accepted = undecided.join(walked(pairs), "id", "left_anti")
+            return cut(accepted if chosen is None else chosen.unionAll(accepted))
+        if rounds < parallel_rounds:
+            blocked = pairs.select(F.col("b").alias("id")).distinct()
+            accepted = undecided.join(blocked, "id", "left_anti")
+        else:
+            until = pairs.approxQuantile("b", [min(1.0, ONE_TASK / 2 / n)], 0.25 * min(1.0, ONE_TASK / 2 / n))[0]
+            accepted = undecided.where(F.col("id") <= until).join(walked(pairs.where(F.col("b") <= until)), "id", "left_anti")
+        rounds += 1
+        accepted = cut(accepted)
         chosen = accepted if chosen is None else chosen.unionAll(accepted)
         gone = pairs.join(accepted.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         out = accepted.unionAll(gone)
@@ -140,7 +144,6 @@ def leaders(ids: DataFrame, pairs: DataFrame, id: str = "idx", max_rounds: int =
             return chosen
         left = undecided
         pairs = cut(pairs.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
-    raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
 
 
 def assign(ids: DataFrame, pairs: DataFrame, chosen: DataFrame, id: str = "idx", earlier: bool = True) -> DataFrame:
@@ -221,9 +224,7 @@ def butina(rows: DataFrame, pairs: DataFrame, id: str = "idx", reordering: bool
     if not reordering:
         degree = both.groupBy("a").agg(F.count("*").alias("d"))
         ranked = ids.join(degree.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
-        key = F.struct(-F.col("d"), -F.col("id"))
-        w = Window.orderBy(key)
-        order = cut(ranked.withColumn("r", F.row_number().over(w).cast("long")))
+        order = cut(rank(ranked, [F.desc("d"), F.desc("id")], "r"))
         p = both.join(order.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(order.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
         p = cut(p.where("ra < rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         chosen = leaders(order.select(F.col("r").alias("idx")), p)

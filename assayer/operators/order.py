@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.shared import cut
+
 #: Order values in a block.
 SPAN = 65_536
 
@@ -32,6 +34,21 @@ def position(df: DataFrame, order: str, out: str = "pos", keys: Sequence[str] =
     return joined.withColumn(out, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_n")).drop("_block", "_n", "_before")
 
 
+def rank(df: DataFrame, by: Sequence[Column], out: str = "rank") -> DataFrame:
+    """`df` with the 1-based rank of its rows in the order of `by`, which has to tell all rows apart.
+
+    The rows are sorted by ranges, one to a task; a row's number in its range and the
+    ranges' sizes give the rank.
+    """
+    ranged = cut(df.orderBy(*by).withColumn("_m", F.monotonically_increasing_id()))
+    block = F.shiftright("_m", 33)  # the partition's number stands in the upper bits
+    sizes = ranged.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_block", block).join(F.broadcast(sizes), "_block")
+    return placed.withColumn(out, (F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_m", "_block", "_before")
+
+
 def running(df: DataFrame, order: str, value: Column, out: str, fold: Callable = F.max, combine: Callable = F.greatest, keys: Sequence[str] = (), span: int = SPAN) -> DataFrame:
     """`df` with the fold of `value` over all rows up to each one."""
     blocks = _before(df, keys, value, order, span, fold)

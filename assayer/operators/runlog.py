@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.operators.order import position, rolling, running, running_sum
+from assayer.operators.order import position, rank, rolling, running, running_sum
 
 
 def preprocess(log: DataFrame, valid: bool = True, unique: bool = True, budget: int | None = None, oracle_budget: bool = False) -> DataFrame:
@@ -218,9 +218,8 @@ def pick(log: DataFrame, endpoint: str, n: int, how: str = "top", scaffold: str
     if total <= n:
         return log
     ranks = sorted({round(k * (total - 1) / max(1, n - 1)) + 1 for k in range(n)})
-    ordered = log.withColumn("_k", F.struct(F.col(endpoint).cast("double"), -F.col("idx")))
-    ranked = ordered.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_k"))))
-    return ranked.where(F.col("_rank").isin(ranks)).drop("_k", "_rank")
+    ranked = rank(log, [F.col(endpoint).cast("double").desc(), F.col("idx").asc()], "_rank")
+    return ranked.where(F.col("_rank").isin(ranks)).drop("_rank")
 
 
 def cumulative_hits(log: DataFrame, endpoint: str, threshold: float) -> DataFrame:

@@ -88,19 +88,56 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.sum(apart * gap).alias("value"))
 
 
+#: Partial sums that the driver adds up.
+MOMENT_PARTS = 8
+
+
 def frechet(a: DataFrame, b: DataFrame, vector: str) -> float:
     """Frechet distance of two sets of vectors: of their means and covariances (ddof 1).
 
     Each side is one aggregate of sums and products; the square root of the
     covariances' product is taken on the driver, on matrices of the vectors' width.
     """
-    (m1, s1), (m2, s2) = _moments(a, vector), _moments(b, vector)
-    values, vectors = np.linalg.eigh(s1)
+    return frechet_of(_moments(a, vector), _moments(b, vector))
+
+
+def frechet_of(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
+    """The distance of two (mean, covariance), such as kept statistics of a reference set."""
+    (m1, s1), (m2, s2) = one, other
+    values, vectors = eigen(s1)
     root = vectors @ np.diag(np.sqrt(np.clip(values, 0, None))) @ vectors.T
-    middle = np.linalg.eigvalsh(root @ s2 @ root)
+    middle, _ = eigen(root @ s2 @ root)
     return float(((m1 - m2) ** 2).sum() + np.trace(s1) + np.trace(s2) - 2 * np.sqrt(np.clip(middle, 0, None)).sum())
 
 
+def eigen(a: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of a symmetric matrix, by Jacobi rotations.
+
+    In place of a threaded LAPACK, which can hang beside the JVM. A sweep turns
+    disjoint pairs of axes at once, a round-robin of all pairs.
+    """
+    a, n = (a + a.T) / 2, len(a)
+    vectors, seats = np.eye(n), np.arange(n + n % 2)
+    scale = np.sqrt((a * a).sum()) or 1.0
+    for _ in range(sweeps):
+        if np.sqrt(((a - np.diag(np.diag(a))) ** 2).sum()) <= 1e-13 * scale:
+            break
+        for _ in range(len(seats) - 1):
+            p, q = seats[: len(seats) // 2], seats[len(seats) // 2 :][::-1]
+            keep = (p < n) & (q < n)
+            p, q = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
+            angle = 0.5 * np.arctan2(2 * a[p, q], a[q, q] - a[p, p])
+            c, s = np.cos(angle), np.sin(angle)
+            ap, aq = a[p].copy(), a[q].copy()
+            a[p], a[q] = c[:, None] * ap - s[:, None] * aq, s[:, None] * ap + c[:, None] * aq
+            ap, aq = a[:, p].copy(), a[:, q].copy()
+            a[:, p], a[:, q] = c * ap - s * aq, s * ap + c * aq
+            vp, vq = vectors[:, p].copy(), vectors[:, q].copy()
+            vectors[:, p], vectors[:, q] = c * vp - s * vq, s * vp + c * vq
+            seats[1:] = np.roll(seats[1:], 1)
+    return np.diag(a).copy(), vectors
+
+
 def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
 
@@ -113,14 +150,30 @@ def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()]), pa.array([products.ravel().tolist()])], names=["n", "s", "p"])
 
+    def fold(batches):
+        n, total, products = 0, 0.0, 0.0
+        for b in batches:
+            for k, s, p in zip(*(c.to_pylist() for c in b.columns)):
+                n, total, products = n + k, total + np.array(s), products + np.array(p)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()]), pa.array([products.tolist()])], names=["n", "s", "p"])
+
     n, total, products = 0, 0.0, 0.0
-    for r in df.select(vector).mapInArrow(run, "n long, s array<double>, p array<double>").toLocalIterator():
+    schema = "n long, s array<double>, p array<double>"
+    # a row for each partition, then one for each of a few
+    for r in df.select(vector).mapInArrow(run, schema).repartition(MOMENT_PARTS).mapInArrow(fold, schema).collect():
         s = np.array(r["s"])
         n, total, products = n + r["n"], total + s, products + np.array(r["p"]).reshape(len(s), len(s))
     mean = total / n
     return mean, (products - n * np.outer(mean, mean)) / (n - 1)
 
 
+def property_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, value, n): the values that each property takes, and how often."""
+    long = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "metric", "value")
+    return long.groupBy("metric", "value").agg(F.count("*").alias("n"))
+
+
 def outlier_bits(gen: DataFrame, ref: DataFrame, key: str, bits: str) -> DataFrame:
     """(value): mean share of a row's bits that no row of `ref` has; a row without bits counts 1."""
     known = ref.select(F.explode(bits).alias("_b")).distinct().withColumn("_known", F.lit(1))
@@ -235,8 +288,8 @@ def neighbour_overlap(a: DataFrame, b: DataFrame, limit: float) -> DataFrame:
 
 
 def corrected(state: DataFrame | None, new: DataFrame) -> DataFrame:
-    """(metric, value, n): averages over calls, weighted by n; `new` is the latest call's."""
-    if state is None:
-        return new.select("metric", "value", "n")
-    rows = state.select("metric", "value", "n").unionByName(new.select("metric", "value", "n"))
+    """(metric, value, n): averages over calls, weighted by n; `new` holds the latest calls'."""
+    rows = new.select("metric", "value", "n")
+    if state is not None:
+        rows = state.select("metric", "value", "n").unionByName(rows)
     return rows.groupBy("metric").agg(F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("value"), F.sum("n").alias("n"))

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from assayer.functions import similarity
 from assayer.operators import diversity
+from assayer.operators.shared import shared_folder
 from assayer.plans import session
 from assayer.plans.catalog import query, table
 from assayer.plans.q_scoring import RUN, r6, run
-from assayer.plans.q_sets import vectors
+from assayer.plans.q_sets import VEC, vectors
 from assayer.sources.objectives import parse
 from assayer.streaming import live
 
@@ -49,17 +49,40 @@ def scaffold_filter_resumed(spark, d):
 
 
 def _vectors(spark, d):
-    return vectors(spark, d).withColumnRenamed("id", "idx").withColumn("score", F.pmod(F.xxhash64("idx"), F.lit(1000)) / 1000.0)
+    return vectors(spark, d).withColumnRenamed("id", "idx").withColumn("score", (F.col("idx") * 7919 % 1000) / 1000.0)
 
 
-@query()
+# SQL of the greedy pass: `base` has (id, b), `ord` (id, rn) the order, WALK keeps an id that no kept one is near.
+_PAIR = "CASE WHEN len(x.b) + len(y.b) = 0 THEN 1 ELSE len(list_intersect(x.b, y.b))::DOUBLE / (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))) END"
+NEAR = f"near AS MATERIALIZED (SELECT * FROM (SELECT x.id AS a, y.id AS b, {_PAIR} AS sim FROM base x JOIN base y ON x.id <> y.id) WHERE sim >= {{t}})"
+WALK = """prev AS MATERIALIZED (SELECT o.rn, o.id, list(p.id) FILTER (p.rn < o.rn) AS before FROM ord o LEFT JOIN near ON near.a = o.id LEFT JOIN ord p ON p.id = near.b GROUP BY ALL),
+walk(i, ids) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT i + 1, CASE WHEN list_has_any(ids, coalesce(before, [])) THEN ids ELSE list_append(ids, id) END FROM walk JOIN prev ON prev.rn = walk.i + 1),
+kept AS MATERIALIZED (SELECT unnest(ids) AS id FROM walk WHERE i = (SELECT count(*) FROM ord))"""
+_BY_ID = "ord AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM base)"
+_ALL = f"{VEC}, base AS (SELECT vec_id AS id, b FROM vec)"
+_SE = f"WITH RECURSIVE {_ALL}, {NEAR.format(t='1 - 0.6::DOUBLE')}, {_BY_ID}, {WALK}"
+_SE_CLUSTERS = f"""{_SE}, best AS (SELECT a AS id, b AS leader, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM near WHERE b IN (SELECT id FROM kept) AND a NOT IN (SELECT id FROM kept)),
+cluster AS (SELECT id, leader FROM best WHERE k = 1 UNION ALL SELECT id, id FROM kept)"""
+
+
+def _similar_sql(candidate):
+    """The similarity filter: clusters of founders, the scaffold filter over them."""
+    return f"""WITH RECURSIVE {VEC}, s AS (SELECT vec_id AS idx, b, (vec_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM vec), base AS (SELECT min(idx) AS id, b FROM s WHERE score >= 0.3::DOUBLE GROUP BY b), {NEAR.format(t='0.42::DOUBLE')}, {_BY_ID}, {WALK},
+best AS (SELECT a AS id, b AS leader, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM near WHERE b < a AND b IN (SELECT id FROM kept) AND a NOT IN (SELECT id FROM kept)),
+cluster AS (SELECT id, leader FROM best WHERE k = 1 UNION ALL SELECT id, id FROM kept), named AS (SELECT base.b, leader FROM base JOIN cluster USING (id)),
+r AS (SELECT s.*, CASE WHEN score >= 0.3::DOUBLE THEN leader END AS cluster FROM s LEFT JOIN named ON named.b = s.b),
+f AS (SELECT *, min(idx) FILTER (score >= 0.3::DOUBLE) OVER (PARTITION BY coalesce(cluster, -1), {candidate}) AS fr FROM r), g AS (SELECT *, coalesce(idx = fr, false) AS rec FROM f), h AS (SELECT *, sum(rec::INT) OVER (PARTITION BY coalesce(cluster, -1) ORDER BY idx) AS n FROM g)
+SELECT idx, cluster, rec AS recorded, round(CASE WHEN idx > fr THEN 0 WHEN rec THEN score * CASE WHEN n > 3 THEN 0 ELSE 1 - n / 3.0::DOUBLE END ELSE score END, 6) + 0.0 AS filtered FROM h"""
+
+
+@query(_similar_sql("b"))
 def compound_similarity_filter(spark, d):
     v = _vectors(spark, d).withColumn("smiles", F.col("words")[0].cast("string"))
     f = diversity.similarity_filter(v, "score", "smiles", "words", most=3, least=0.3, similar=0.42, mode="linear")
     return f.select("idx", "cluster", "recorded", r6(F.col("filtered"), "filtered"))
 
 
-@query()
+@query(f"{_SE} SELECT id FROM kept")
 def sphere_exclusion(spark, d):
     return diversity.sphere_exclusion(_vectors(spark, d), 0.6)
 
@@ -70,23 +93,30 @@ def se_diversity(spark, d):
     return spark.range(1).select(r6(F.lit(value), "value"))
 
 
-@query()
+@query(f"{_SE_CLUSTERS} SELECT id, leader FROM cluster")
 def se_clusters(spark, d):
     return diversity.sphere_exclusion_clusters(_vectors(spark, d), 0.6)
 
 
-@query()
+@query(f"{_SE_CLUSTERS} SELECT leader, count(*) AS size FROM cluster GROUP BY leader ORDER BY size DESC, leader LIMIT 10")
 def se_picker(spark, d):
     return diversity.pick_clusters(diversity.sphere_exclusion_clusters(_vectors(spark, d), 0.6), 10, "largest")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ALL}, {NEAR.format(t='0.42::DOUBLE')}, degree AS (SELECT id, count(near.a) AS d FROM base LEFT JOIN near ON near.a = base.id GROUP BY id), ord AS (SELECT id, row_number() OVER (ORDER BY d DESC, id DESC) AS rn FROM degree), {WALK},
+first AS (SELECT a AS id, arg_min(o.id, o.rn) AS leader FROM near JOIN ord o ON o.id = near.b JOIN ord m ON m.id = near.a WHERE o.rn < m.rn AND o.id IN (SELECT id FROM kept) AND a NOT IN (SELECT id FROM kept) GROUP BY a)
+SELECT id, leader FROM first UNION ALL SELECT id, id FROM kept""")
 def butina_clusters(spark, d):
     v = _vectors(spark, d)
     return diversity.butina(v, diversity.near_pairs(v, 0.42))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT min(p_partkey) AS id, p_name AS n FROM part GROUP BY p_name), nb AS (SELECT x.id, list(y.id) FILTER (y.id <> x.id) AS near FROM s x JOIN s y ON levenshtein(x.n, y.n) <= 3 GROUP BY x.id),
+m AS (SELECT map_from_entries(list((id, coalesce(near, []::BIGINT[])))) AS of FROM nb),
+w(left_, leader, members) AS (SELECT (SELECT list(id) FROM s), NULL::BIGINT, []::BIGINT[] UNION ALL
+  SELECT list_filter(left_, lambda x: NOT list_contains(own, x)), top, own FROM (SELECT left_, top, list_append(list_intersect(of[top], left_), top) AS own FROM
+    (SELECT left_, of, list_sort(list_transform(left_, lambda x: {'d': len(list_intersect(of[x], left_)), 'id': x}))[-1].id AS top FROM w, m WHERE len(left_) > 0)))
+SELECT unnest(members) AS id, leader FROM w WHERE leader IS NOT NULL""")
 def levenshtein_butina(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), "p_name").groupBy("p_name").agg(F.min("idx").alias("idx"))
     return diversity.butina(p, diversity.levenshtein_pairs(p, "p_name", 3), reordering=True)
@@ -104,7 +134,14 @@ def maxmin_picker(spark, d):
     return spark.createDataFrame([(k, i) for k, i in enumerate(picks)], "rank int, idx long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VEC}, s AS (SELECT vec_id AS id, b, (vec_id * 7919 % 1000) / 1000.0::DOUBLE AS score, row_number() OVER (ORDER BY vec_id) AS rn FROM vec),
+sims AS MATERIALIZED (SELECT x.id, x.rn, x.score, map_from_entries(list((y.id, {_PAIR}))) AS sim FROM s x JOIN s y ON y.id < x.id GROUP BY ALL UNION ALL SELECT id, rn, score, MAP {{}} FROM s WHERE rn = 1),
+w(i, buf) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, score DOUBLE, members BIGINT)[] UNION ALL
+  SELECT i + 1, CASE WHEN len(buf) < 50 THEN list_append(buf, {{'id': id, 'score': score, 'members': 0::BIGINT}}) WHEN score < low THEN buf
+    WHEN top > 0.35::DOUBLE THEN list_transform(buf, lambda x, k: CASE WHEN k = list_position(near, top) THEN {{'id': x.id, 'score': greatest(x.score, score), 'members': x.members + 1}} ELSE x END)
+    ELSE list_transform(buf, lambda x, k: CASE WHEN k = list_position(scores, low) THEN {{'id': id, 'score': score, 'members': 0::BIGINT}} ELSE x END) END
+  FROM (SELECT *, list_max(near) AS top, list_min(scores) AS low FROM (SELECT i, buf, id, score, list_transform(buf, lambda x: sim[x.id]) AS near, list_transform(buf, lambda x: x.score) AS scores FROM w JOIN sims ON sims.rn = w.i + 1)))
+SELECT c.id AS centroid, round(c.score, 6) + 0.0 AS score, c.members AS members FROM (SELECT unnest(buf) AS c FROM w WHERE i = (SELECT count(*) FROM s))""")
 def diverse_buffer(spark, d):
     return diversity.diverse_buffer(_vectors(spark, d), "score", 50, 0.35).select("centroid", r6(F.col("score"), "score"), "members")
 
@@ -128,10 +165,8 @@ _OBJECTIVE = json.dumps({
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared one that the cluster names, or in a private one where none is named."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assayer-")
-    return f"{base.rstrip('/')}/session-{uuid.uuid4().hex}"
+    """A new folder in the shared one that the cluster names."""
+    return f"{shared_folder(spark)}/session-{uuid.uuid4().hex}"
 
 
 _NAMES_SQL = """WITH b AS (SELECT p_partkey, p_partkey % 4 AS q, lower(p_name) AS s FROM part), i AS (SELECT *, row_number() OVER (ORDER BY q, p_partkey) - 1 AS idx FROM b), o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY idx) AS rn FROM i)
@@ -218,7 +253,7 @@ def vector_words(spark, d):
 query("SELECT vec_id AS id, CAST(CASE WHEN w >= 9223372036854775808 THEN w - 18446744073709551616 ELSE w END AS BIGINT) AS word, CAST(n AS BIGINT) AS bits FROM (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (2::HUGEINT) ** i ELSE 0 END))::HUGEINT AS w, len(list_filter(embedding, lambda v: v > 0)) AS n FROM embeddings)".replace("(2::HUGEINT) ** i", "(1::HUGEINT << i)"))(vector_words)
 
 
-@query()
+@query(_similar_sql("idx % 300"))
 def scaffold_similarity_filter(spark, d):
     """The similarity filter with scaffolds as founders: repeats are those of the candidate."""
     v = _vectors(spark, d).withColumns({"scaffold": F.col("words")[0].cast("string"), "smiles": (F.col("idx") % 300).cast("string")})

@@ -240,16 +240,22 @@ def unseen_bits(spark, d):
     return v.crossJoin(ref).select(F.col("id").alias("vec_id"), r6(text.unseen_share(F.col("b"), F.col("known")), "unseen"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_size AS x, round(p_retailprice, 2) AS y, p_brand AS g FROM part), f1 AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.g = a.g AND b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
-r AS (SELECT * FROM p EXCEPT SELECT * FROM f1), f2 AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.g = a.g AND b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y)))
-SELECT x, y, g, 1 AS front FROM f1 UNION ALL SELECT x, y, g, 2 FROM f2 UNION ALL SELECT x, y, g, 3 FROM (SELECT * FROM r EXCEPT SELECT * FROM f2)""")
+# a point's front is the length of the longest chain of points that dominate each other down to it
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT p_size AS x, round(p_retailprice, 2) AS y, p_brand AS g FROM part), chain(x, y, g, k) AS (SELECT x, y, g, 1 FROM p
+  UNION SELECT b.x, b.y, b.g, a.k + 1 FROM chain a JOIN p b ON b.g = a.g AND a.x >= b.x AND a.y >= b.y AND (a.x > b.x OR a.y > b.y))
+SELECT x, y, g, max(k)::INT AS front FROM chain GROUP BY x, y, g""")
 def pareto_fronts(spark, d):
-    """The front of each brand's parts, 3 standing for the third and all below it."""
+    """The front of each brand's parts."""
     p = table(spark, d, "part").select(F.col("p_size").alias("x"), F.round("p_retailprice", 2).alias("y"), F.col("p_brand").alias("g")).distinct()
-    return pareto.fronts(p, ["x", "y"], ["g"]).select("x", "y", "g", F.least("front", F.lit(3)).alias("front"))
+    return pareto.fronts(p, ["x", "y"], ["g"]).select("x", "y", "g", "front")
 
 
-@query()
+# a row's level is the length of the longest chain of rows below it; the worst have none below
+@query(f"""WITH RECURSIVE {RUN}, p AS MATERIALIZED (SELECT idx, step, score AS x, 1 - abs(score - 0.5::DOUBLE) * 2 AS y FROM run), below AS MATERIALIZED (SELECT a.idx AS hi, b.idx AS lo FROM p a JOIN p b ON a.step = b.step AND a.x >= b.x AND a.y >= b.y AND (a.x > b.x OR a.y > b.y)),
+chain(idx, k) AS (SELECT idx, 0 FROM p UNION SELECT hi, k + 1 FROM chain JOIN below ON lo = idx), level AS (SELECT idx, max(k) AS k FROM chain GROUP BY idx),
+place AS (SELECT p.*, row_number() OVER (PARTITION BY step ORDER BY k, p.idx) - 1 AS k FROM p JOIN level USING (idx)), same AS (SELECT *, first_value(k) OVER (PARTITION BY step, x, y ORDER BY idx) AS r, x >= 0.5 AND y >= 0.5 AS good FROM place),
+n AS (SELECT step, sum(good::INT) AS n_good, sum((NOT good)::INT) AS n_bad FROM same GROUP BY step)
+SELECT idx, same.step, round(CASE WHEN good THEN 0.5 + (r - n_bad) / greatest(1, n_good)::DOUBLE ELSE r / greatest(1, 2 * n_bad)::DOUBLE END, 6) + 0.0 AS reward FROM same JOIN n USING (step)""")
 def pareto_reward(spark, d):
     """Ranks of every batch of the run as rewards; tests hold them against plain sorting."""
     r = run(spark, d).withColumn("other", 1 - F.abs(F.col("score") - 0.5) * 2)
@@ -264,11 +270,13 @@ def steric_clashes(spark, d):
     return sets.neighbour_overlap(p.where("label < 5"), p.where("label >= 5"), 0.4)
 
 
-@query(f"""WITH {RUN}, m AS (SELECT step, count(*) AS n, avg(score) AS v FROM run WHERE step <= 3 GROUP BY step) SELECT 'score' AS metric, round(sum(v * n) / sum(n), 6) + 0.0 AS value, sum(n)::BIGINT AS n FROM m""")
+@query(f"""WITH {RUN}, m AS (SELECT step, count(*) AS n, avg(score) AS v FROM run GROUP BY step) SELECT 'score' AS metric, round(sum(v * n) / sum(n), 6) + 0.0 AS value, sum(n)::BIGINT AS n FROM m""")
 def cumulative_correction(spark, d):
-    state = None
-    for k in (1, 2, 3):
-        state = sets.corrected(state, run(spark, d).where(F.col("step") == k).agg(F.lit("score").alias("metric"), F.avg("score").alias("value"), F.count("*").alias("n")))
+    """The average over all batches of the run, corrected by the last after all before it."""
+    calls = run(spark, d).groupBy("step").agg(F.lit("score").alias("metric"), F.avg("score").alias("value"), F.count("*").alias("n"))
+    last = calls.agg(F.max("step").alias("step"))
+    before = sets.corrected(None, calls.join(F.broadcast(last), "step", "left_anti"))  # one row
+    state = sets.corrected(before, calls.join(F.broadcast(last), "step", "left_semi"))
     return state.select("metric", r6(F.col("value"), "value"), "n")
 
 

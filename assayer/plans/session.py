@@ -107,8 +107,9 @@ class Session:
                 df = B.attach_with_cache(df, results, log, own)
             if not self.score_invalids:
                 df = df.withColumns({c: F.when(F.col("valid"), F.col(c)).otherwise(0.0) for c in own})
-        if self._normed():
-            df = df.cache()
+        held = df.cache() if self._normed() else None
+        if held is not None:
+            df = held
             self._widen(df)
         df = C.score(df, o, self.extrema)
         memory = None
@@ -118,6 +119,8 @@ class Session:
         now = time.time()
         df = df.withColumns({"absolute_time": F.lit(now - self.started), "score_time": F.lit(now - began)})
         tables.write_step(df, self.path)
+        if held is not None:
+            held.unpersist()
         done = self.spark.read.parquet(self.path).where((F.col("step") == self.step) & (F.col("task") == o.task_key))
         self.rows += done.count()
         if self.replay_size:
@@ -151,7 +154,7 @@ class Session:
 
 
 def diversity_cut(df: DataFrame) -> DataFrame:
-    from assayer.operators.diversity import cut
+    from assayer.operators.shared import cut
 
     return cut(df)
 

@@ -252,6 +252,32 @@ def test_leaders_and_clusters(spark, monkeypatch, seed, one_task):
         assert got[i] == (i if i in kept else best)
 
 
+@pytest.mark.parametrize("one_task, rounds", [(0, 3), (300, 0), (10**6, 50)])
+def test_leaders_of_a_long_chain(spark, monkeypatch, one_task, rounds):
+    monkeypatch.setattr(diversity, "ONE_TASK", one_task)
+    n = 40 if one_task == 0 else 1000
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    got = diversity.leaders(spark.range(n + 1).withColumnRenamed("id", "idx"), pairs, parallel_rounds=rounds)
+    assert sorted(r.id for r in got.collect()) == list(range(0, n + 1, 2))
+
+
+def test_rank_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.randrange(5) + 0.5) for k in range(500)]
+    df = spark.createDataFrame(rows, "idx long, v double").repartition(7)
+    got = {r.idx: r.rank for r in order.rank(df, [F.desc("v"), F.col("idx").asc()]).collect()}
+    assert got == {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 24])
+def test_eigen_is_the_decomposition(n):
+    a = np.random.default_rng(n).normal(size=(n, max(1, n - 2)))
+    a = a @ a.T
+    values, vectors = sets.eigen(a)
+    assert np.sort(values) == pytest.approx(np.linalg.eigvalsh(a), abs=1e-9)
+    assert vectors @ np.diag(values) @ vectors.T == pytest.approx(a, abs=1e-9)
+
+
 @pytest.mark.parametrize("mode", ["binary", "linear", "sigmoid"])
 def test_scaffold_filter_is_the_walk(spark, mode):
     rng = random.Random(mode)
