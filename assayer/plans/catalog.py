@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from assayer.plans import q_diversity, q_runlog, q_scoring, q_sets  # noqa: E402, F401
+from assayer.plans import q_diversity, q_more, q_runlog, q_scoring, q_sets  # noqa: E402, F401
