@@ -119,3 +119,22 @@ def test_equals_sql(spark, docs, odd):
     assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) > 15
     for a, b in zip(got, want):
         assert a[2:] == pytest.approx(b[2:], abs=2e-6)
+
+
+def test_scores_do_not_depend_on_the_shards(spark, docs, monkeypatch):
+    rng = random.Random(10)
+    items = [(k, sentences(rng, rng.randrange(15, 90))) for k in range(60)]
+    texts = ["x " * (k % 7) + t + " y" for k, (_, t) in enumerate(items)] * 2
+    bench = spark.createDataFrame(items, BENCH)
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in D.find_leaks(docs(texts), bench).collect())
+    whole = found()
+    monkeypatch.setattr(D, "SHARD_CHARS", 3000)
+    assert found() == whole and len(whole) >= 120
+
+
+def test_the_index_is_packed():
+    import pickle
+
+    rng = random.Random(11)
+    items = [(k, sentences(rng, 60)) for k in range(3000)]
+    assert len(pickle.dumps(D.build(items, 0.8))) <= 8 * sum(len(t) for _, t in items)

@@ -146,3 +146,47 @@ def test_rows_of_counts(spark, docs, odd, tokenizer):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((t or "").encode()), n, n > 1024)
     assert count_tokens(docs([]), path).count() == 0
+
+
+def test_numerals_are_no_letters(spark, docs):
+    from assayer.llm import langid
+
+    odd = ["\u00bd \u00b2", "\u2167 \u2460", "12 34", "_", "\U0001f642", "\u0e01", "a\u00bd"]
+    rows = [(k, f"the old house by the river number {k}", "en", "s") for k in range(40)]
+    got = {r.doc_id: r for r in langid.identify(docs(rows + [(100 + k, t, None, "s") for k, t in enumerate(odd)])).collect()}
+    for k, t in enumerate(odd):
+        letters = any(c.isalpha() for c in t)
+        assert (got[100 + k].lang_pred == "en") == letters and (got[100 + k].score > 0) == letters, t
+
+
+def test_other_tokenizer_files_are_counted_by_the_library(spark, docs, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from assayer.llm import tokens
+
+    plain = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    assert tokens.is_plain(json.dumps(plain))
+    texts = ["One two three. one TWO", " lead", "it's 12345 and\n\nmore", ""]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}, {"truncation": {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}}):
+        spec = json.dumps(plain | change)
+        path = tmp_path / f"{next(iter(change))}.json"
+        path.write_text(spec, encoding="utf-8")
+        library = Tokenizer.from_str(spec)
+        library.no_truncation()
+        want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(texts), str(path)).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+        assert tokens.is_plain(spec) == ("truncation" in change)
+
+
+def test_sums_come_from_few_partitions(spark, docs):
+    from assayer.llm import quality_model as Q
+
+    good, bad = "The old house by the river is warm and the people in it are kind to all.", "$$$ ### buy now %%% !!! &&& ***"
+    rows = [(k, (good if k % 2 else bad) * (1 + k % 5), "en", "s") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    got = Q.score_quality(docs(rows).repartition(60), labels).collect()
+    assert sum((r.score > 0.5) == bool(r.doc_id % 2) for r in got) >= 195

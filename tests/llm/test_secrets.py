@@ -156,3 +156,46 @@ def test_covered_tokens_are_not_counted(spark, docs):
     covered = [f"password: {''.join(rng.choices(base62, k=32))}" for _ in range(300)]
     rows = S.secret_report(docs(texts + covered)).collect()
     assert not any("random" in r.spans for r in rows) and sum(r.n_assign for r in rows) == 300
+
+
+PLAIN = "user account detail controller report final payment river bridge house number table value index stream factory builder handler service request".split()
+
+
+def ordinary(rng, name):
+    """An ordinary long token of each encoding: names, paths and fillers."""
+    words, number = [rng.choice(PLAIN) for _ in range(rng.randrange(4, 9))], str(rng.randrange(1, 3000))
+    if name in ("hex", "HEX"):
+        token = "".join(rng.choice(["cafe", "0000", "dead", "beef", "1111", "face", "2024", "00ff"]) for _ in range(rng.randrange(5, 12)))
+        return token if name == "hex" else token.upper()
+    if name == "base62":
+        return "".join(w.capitalize() for w in words) + number
+    if name == "base64":
+        return "/".join(w.capitalize() for w in words) + "/" + number
+    if name == "alnum36":
+        return "".join(words) + number
+    return "".join(words).upper() + number.translate(str.maketrans("0189", "2345"))
+
+
+def test_recall_and_false_discoveries_by_encoding_and_length(spark, docs):
+    rng = random.Random(3)
+    rows = []
+    for e in S.ENCODINGS:
+        rows += [(f"see {ordinary(rng, e.name)} here", e.name, 0) for _ in range(800)]
+        for n in (20, 23) if e.name == "hex" else (20, 24, 32, 40, 64, 96):
+            rows += [(f"see {''.join(rng.choices(e.alphabet, k=n))} here", e.name, n) for _ in range(20)]
+    flagged = {r.doc_id: "random" in r.spans for r in S.secret_report(docs([t for t, _, _ in rows])).collect()}
+    found = {}
+    for k, (_, name, n) in enumerate(rows):
+        found.setdefault((name, n > 0), []).append(flagged[k])
+    for e in S.ENCODINGS:
+        assert sum(found[e.name, True]) >= 0.7 * len(found[e.name, True]), e.name
+    hits, false = (sum(sum(found[e.name, planted]) for e in S.ENCODINGS) for planted in (True, False))
+    assert hits >= 0.85 * sum(len(found[e.name, True]) for e in S.ENCODINGS)
+    assert false <= 0.12 * (hits + false)
+
+
+def test_thousands_of_matches_in_one_text(spark, docs):
+    text = " ".join(f"password=abcdef{k}" for k in range(4000))
+    report = S.secret_report(docs([text])).first()
+    assert report.n_assign == 4000 and report.spans.startswith("assign:0:16,assign:17:33,")
+    assert S.secrets_masked(docs([text])).first().text == " ".join(["[SECRET]"] * 4000)
