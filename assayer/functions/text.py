@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,13 +35,24 @@ def descriptors(s: Column) -> dict[str, Column]:
     }
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The pattern for Java's matcher with the sense that SQL engines give it: \b and \B by ASCII word characters, and all but \n matched by a dot."""
+    edge = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+    # quoted stretches and escaped characters are stepped over whole
+    return "(?d)" + re.sub(r"\\Q.*?(?:\\E|\Z)|\\(.)", lambda m: edge.get(m[1], m[0]), pattern, flags=re.S)
+
+
+def _occurs(s: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_like(s, F.lit(ascii_pattern(pattern))), F.lit(False))
+
+
 def match_any(s: Column, patterns: Sequence[str]) -> Column:
     """1 if some pattern occurs; stops at the first."""
-    return F.exists(F.array(*map(F.lit, patterns)), lambda p: F.coalesce(F.regexp_like(s, p), F.lit(False))).cast("int")
+    return reduce(lambda a, p: a | _occurs(s, p), patterns, F.lit(False)).cast("int")
 
 
 def match_all(s: Column, patterns: Sequence[str]) -> Column:
-    return F.forall(F.array(*map(F.lit, patterns)), lambda p: F.coalesce(F.regexp_like(s, p), F.lit(False))).cast("int")
+    return reduce(lambda a, p: a & _occurs(s, p), patterns, F.lit(True)).cast("int")
 
 
 def pattern_filter(s: Column, patterns: Sequence[str]) -> tuple[Column, Column]:

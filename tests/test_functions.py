@@ -127,6 +127,17 @@ def test_text(spark):
     assert df.select(text.descriptors(F.col("s"))["length"]).collect()[2][0] == 0.0
 
 
+def test_patterns_as_sql_engines_read_them(spark):
+    df = spark.createDataFrame([("mentioné",), ("nation.",), ("nationx",), ("sea\rwater",), ("sea\nwater",), ("a\\bé",)], "s string")
+    one = lambda p: [r[0] for r in df.select(text.match_any(F.col("s"), [p])).collect()]
+    assert one("tion\\b") == [1, 1, 0, 0, 0, 0]
+    assert one("tion\\B") == [0, 0, 1, 0, 0, 0]
+    assert one("ea.*er") == [0, 0, 0, 1, 0, 0]
+    assert one("a\\\\b") == one("\\Qa\\b\\E") == [0, 0, 0, 0, 0, 1]
+    assert [r[0] for r in df.select(text.match_all(F.col("s"), ["tion\\b", "^m"])).collect()] == [1, 0, 0, 0, 0, 0]
+    assert df.select(text.match_any(F.col("s"), []), text.match_all(F.col("s"), [])).first()[:] == (0, 1)
+
+
 def test_registry_degrades_and_checks(spark):
     with pytest.raises(T.ObjectiveError):
         R.REGISTRY.get("Nothing")
