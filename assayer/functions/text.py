@@ -57,7 +57,7 @@ def match_all(s: Column, patterns: Sequence[str]) -> Column:
 
 def pattern_filter(s: Column, patterns: Sequence[str]) -> tuple[Column, Column]:
     """(0 if some pattern occurs else 1, the patterns that do, joined by commas)."""
-    hits = F.filter(F.array(*map(F.lit, patterns)), lambda p: F.coalesce(F.regexp_like(s, p), F.lit(False)))
+    hits = F.array_compact(F.array(*[F.when(_occurs(s, p), F.lit(p)) for p in patterns]).cast("array<string>"))
     return F.when(F.size(hits) > 0, 0).otherwise(1), F.array_join(hits, ",")
 
 

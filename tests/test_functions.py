@@ -138,6 +138,13 @@ def test_patterns_as_sql_engines_read_them(spark):
     assert df.select(text.match_any(F.col("s"), []), text.match_all(F.col("s"), [])).first()[:] == (0, 1)
 
 
+def test_pattern_filter_as_sql_engines_read_it(spark):
+    df = spark.createDataFrame([("mentioné",), ("sea\rwater nation",), ("nationx",), (None,)], "s string")
+    ok, names = text.pattern_filter(F.col("s"), ["ea.*er", "tion\\b"])
+    assert [tuple(r) for r in df.select(ok, names).collect()] == [(0, "tion\\b"), (0, "ea.*er,tion\\b"), (1, ""), (1, "")]
+    assert df.select(*text.pattern_filter(F.col("s"), [])).first()[:] == (1, "")
+
+
 def test_registry_degrades_and_checks(spark):
     with pytest.raises(T.ObjectiveError):
         R.REGISTRY.get("Nothing")
