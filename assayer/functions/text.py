@@ -36,7 +36,7 @@ def descriptors(s: Column) -> dict[str, Column]:
 
 
 def ascii_pattern(pattern: str) -> str:
-    """The pattern for Java's matcher with the sense that SQL engines give it: \b and \B by ASCII word characters, and all but \n matched by a dot."""
+    r"""The pattern for Java's matcher with the sense that SQL engines give it: \b and \B by ASCII word characters, and all but \n matched by a dot."""
     edge = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
     # quoted stretches and escaped characters are stepped over whole
     return "(?d)" + re.sub(r"\\Q.*?(?:\\E|\Z)|\\(.)", lambda m: edge.get(m[1], m[0]), pattern, flags=re.S)

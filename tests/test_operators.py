@@ -353,6 +353,51 @@ def test_butina(spark, reordering):
     assert got == want
 
 
+def _no_pairs(*_):
+    raise AssertionError("pairs are listed")
+
+
+@pytest.mark.parametrize("walk, tile, slice_", [(16, 7, 60), (16_384, 4096, 2_000_000)])
+def test_clusters_without_pairs(spark, monkeypatch, walk, tile, slice_):
+    monkeypatch.setattr(diversity, "near_pairs", _no_pairs)
+    monkeypatch.setattr(diversity, "WALK", walk)
+    monkeypatch.setattr(tiles, "TILE", tile)
+    monkeypatch.setattr(tiles, "SLICE", slice_)
+    vs = vectors(70, 5)
+    vs += [vs[3]] * 40 + [vs[60]] * 2 + [frozenset()] * 3  # copies
+    n, df = len(vs), frame(spark, vs)
+    kept = []
+    for i, v in enumerate(vs):
+        if all(sim(v, vs[k]) < 0.4 for k in kept):
+            kept.append(i)
+    assert sorted(r.id for r in diversity.sphere_exclusion(df, 0.6).collect()) == kept
+    got = {r.id: r.leader for r in diversity.sphere_exclusion_clusters(df, 0.6).collect()}
+    want = {i: i if i in kept else max(kept, key=lambda k: (sim(v, vs[k]), -k)) for i, v in enumerate(vs)}
+    assert got == want
+    sizes = sorted(((list(want.values()).count(k), -k) for k in kept), reverse=True)[:4]
+    assert [(r.size, -r.leader) for r in diversity.pick_clusters(diversity.sphere_exclusion_clusters(df, 0.6), 4).collect()] == sizes
+    near = {i: {j for j in range(n) if i != j and sim(vs[i], vs[j]) >= 0.4} for i in range(n)}
+    left, want = set(range(n)), {}
+    while left:
+        top = max(left, key=lambda i: (len(near[i]), i))
+        for m in ({top} | near[top]) & left:
+            want[m] = top
+        left -= {top} | near[top]
+    assert {r.id: r.leader for r in diversity.butina_within(df, 0.4).collect()} == want
+
+
+def test_similar_enough_by_counts():
+    rng = np.random.default_rng(3)
+    for columns in (1, 5):
+        a, b = (rng.integers(0, 2**64, (k, columns), dtype=np.uint64) & rng.integers(0, 2**64, (k, columns), dtype=np.uint64) for k in (150, 5000))
+        a[0] = b[0] = 0
+        for at_least in (0.0, 0.2, 0.42, 0.5, 1.0):
+            got = np.zeros((150, 5000), bool)
+            for i, j, close in tiles.near(a, b, at_least):
+                got[i, j : j + close.shape[1]] = close
+            assert (got == (tiles.tanimoto(a, b) >= at_least)).all()
+
+
 def test_levenshtein_pairs(spark):
     def edits(a, b):
         row = list(range(len(b) + 1))
