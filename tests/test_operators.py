@@ -386,6 +386,14 @@ def test_clusters_without_pairs(spark, monkeypatch, walk, tile, slice_):
     assert {r.id: r.leader for r in diversity.butina_within(df, 0.4).collect()} == want
 
 
+def test_picker_lists_no_pairs(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(diversity, "near_pairs", _no_pairs)
+    got = entry.queries()["se_picker"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 10 and [r.size for r in got] == sorted((r.size for r in got), reverse=True)
+
+
 def test_pairwise_keeps_all_rows_over_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(tiles, "TILE", 7)
     df = frame(spark, vectors(60, 6), id="id")
