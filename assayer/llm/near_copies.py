@@ -8,17 +8,18 @@ bands of `ROWS` values a pair of similarity 0.8 is missed in 5 of a million case
 closer one more rarely. Every link is then checked on the shingle sets themselves, so
 no pair below the threshold is ever linked.
 
+SimHash fingerprints that the vantage-point tree links (see `simhash`) put texts into
+one bucket too.
+
 Texts of equal words are folded first. Of each candidate text it is counted how many of
 its shingles no other candidate has: what two texts share is at most what the rest of
-either leaves, which bounds their similarity from their sizes alone. The bound is
-exact, and rules out all but a few of the pairs of texts that were changed at random
-from one original. A bucket's centre is the member with the smallest share of such
-shingles, so the original or what is nearest to it; all members are compared with it,
-where the bound allows. Where components then leave a bucket apart, its members that
-the bound still allows are compared with further centres of other components, four
-times as many each round, until every bucket is one component or each of its members
-has been a centre. So every candidate pair is connected, ruled out or compared. A
-centre's set is copied once for `SPREAD` of its pairs, so no task holds all pairs of one.
+either leaves, so a text with too many of its own has no near copy. Texts that buckets
+connect are a group. A group is dealt by the size of the sets, as near copies' sizes
+differ by a quarter at most: each text is at home in one class of sizes and visits the
+next. A task compares a class, or a tile of two blocks of a large one, on the sets
+themselves, and returns a spanning forest of its near copies, never all pairs. So every
+candidate pair is compared, and the rows are those of the texts, a few times over: in a
+class of m texts twice m / `SPREAD` times.
 
 Defined results: null and wordless texts are copies of each other; a text of fewer
 than five words is one shingle; letters' case (ASCII) and spacing don't matter; very
@@ -33,25 +34,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import BROADCAST_KEYS, HOT, Written, attach, connected_components, cut
+from assayer.llm.common import BROADCAST_KEYS, Written, attach, connected_components, cut
 
 #: Words of a shingle, and the least similarity of near copies.
 SIZE, LEAST = 5, 0.8
 SEED = 42
 ROWS, BANDS = 6, 40
-#: Centres of a bucket in the first round, about; each further one has four times as many.
+#: Tables into which small classes are packed at least.
 CENTRES = 1
-#: Pairs for which a frequent centre's set is copied once.
+#: Texts of a block; a class of more is compared in tiles of two blocks.
 SPREAD = 500
+#: Shingles of a block, and texts and shingles of a table of small classes, about.
+SHINGLES, PACKED = 1_000_000, 2_000
 
 
-def shingles(text: str | None, size: int = SIZE) -> tuple[int, np.ndarray]:
-    """Hash of the text's words, and the sorted distinct hashes of its shingles."""
+def simhash(hashes: np.ndarray) -> np.int64:
+    """SimHash of a text's shingle hashes, repeats included, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65_536):  # bounds the memory that a very long text takes
+        ones += np.unpackbits(hashes[i : i + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).view(">i8").astype(np.int64)[0]
+
+
+def hashed(text: str | None, size: int = SIZE) -> tuple[int, np.ndarray, bool]:
+    """Hash of the text's words, the hashes of its shingles in order, and whether it has a word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_digest
     n = max(1, len(words) - size + 1)
     raw = b"".join([digest(b" ".join(words[i : i + size]), SEED) for i in range(n)])
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED + 1), np.frombuffer(raw, ">u8").astype(np.uint64), bool(words)
+
+
+def shingles(text: str | None, size: int = SIZE) -> tuple[int, np.ndarray]:
+    """Hash of the text's words, and the sorted distinct hashes of its shingles."""
+    fp, hashes, _ = hashed(text, size)
+    return fp, np.unique(hashes)
 
 
 def bands(hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -77,18 +94,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, key, fp, n, bands) of every row: its text's hash, its words' hash, its number of shingles, its sketch."""
+    """(doc_id, key, fp, n, bands, simhash) of every row: its text's hash, its words' hash, its number of shingles, its sketch, its fingerprint."""
     times = multipliers()
 
     def run(batches):
         for b in batches:
-            found = [shingles(t.as_py(), size) for t in b.column(2)]
-            fp, n = pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64)), pa.array([len(s) for _, s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, n, _lists([bands(s, times) for _, s in found])], names=["doc_id", "key", "fp", "n", "bands"])
+            fp, n, sketch, prints = [], [], [], []
+            for t in b.column(2):
+                words, hashes, some = hashed(t.as_py(), size)
+                own = np.unique(hashes)
+                fp.append(words)
+                n.append(len(own))
+                sketch.append(bands(own, times))
+                prints.append(simhash(hashes) if some else 0)
+            fp = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(n, pa.int64()), _lists(sketch), pa.array(prints, pa.int64())], names=["doc_id", "key", "fp", "n", "bands", "simhash"])
 
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return src.mapInArrow(run, "doc_id long, key long, fp long, n long, bands array<long>")
+    return src.mapInArrow(run, "doc_id long, key long, fp long, n long, bands array<long>, simhash long")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -106,79 +130,98 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> Dat
     return texts.select("text").mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; pairs: (a, an, b, bn), an and bn the sets' sizes."""
-    pairs = pairs.where("a <> b").where(F.least("an", "bn") >= F.lit(least) * F.greatest("an", "bn"))
-    pairs = Written(pairs.select("a", "b").distinct()).frame
-    total = pairs.count()
-    if 2 * total <= BROADCAST_KEYS:  # few pairs: their sets only
-        wanted = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        sets = sets.join(wanted, "fp", "left_semi")
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-    often = max(2 * SPREAD, -(-total // HOT))
-    if total < often:
-        dealt, left = pairs.withColumn("part", F.lit(0)), left.withColumn("part", F.lit(0))
-    else:
-        hot = F.broadcast(cut(pairs.groupBy("a").count().where(F.col("count") >= often).select("a", F.ceil(F.col("count") / SPREAD).alias("parts"))))
-        dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long")).alias("part"))
-        left = left.join(hot, "a", "left")
-        left = left.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"))
-    both = dealt.join(left, ["a", "part"]).join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def near_copy_links(docs: DataFrame, rows: DataFrame, least: float = LEAST, size: int = SIZE) -> DataFrame:
+def forest(sets: list[np.ndarray], allowed, least: float) -> list[tuple[int, int]]:
+    """Pairs of positions of sets at least so similar that connect all such pairs; allowed(i): which others i is compared with."""
+    m, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    flat, row = np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(m), size)
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(flat) else np.empty(0, np.int64)
+    many = np.diff(np.append(starts, len(flat)))
+    of = np.empty(len(flat), np.int64)
+    of[order] = np.repeat(np.arange(len(starts)), many)
+    holders, ends = row[order], np.cumsum(np.append(0, size))
+    label, found = np.arange(m), []
+    for i in range(m):
+        run = of[ends[i] : ends[i + 1]]
+        run = run[many[run] > 1]
+        if not len(run):
+            continue
+        n = many[run]
+        at = np.arange(n.sum()) + np.repeat(starts[run] - np.append(0, np.cumsum(n)[:-1]), n)
+        shared = np.bincount(holders[at], minlength=m)
+        hits = np.flatnonzero((shared >= least * (size[i] + size - shared)) & (label != label[i]) & allowed(i))
+        if len(hits):
+            others, one = np.unique(label[hits], return_index=True)
+            found += [(i, int(j)) for j in hits[one]]
+            label[np.isin(label, others)] = label[i]
+    return found
+
+
+def _compared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect all near copies of each group; rows: (fp, size, group)."""
+    width = float(np.log(1 / least)) + 1e-9  # the sizes of near copies are of one class or of two that follow each other
+    own = F.floor(F.log("size") / F.lit(width))
+    seats = F.array(F.struct(own.alias("class"), F.lit(True).alias("home")), F.struct((own + 1).alias("class"), F.lit(False).alias("home")))
+    seated = cut(rows.select("fp", "size", "group", F.explode(seats).alias("seat")).select("fp", "size", F.xxhash64("group", "seat.class").alias("unit"), "seat.home"))
+    units = seated.groupBy("unit").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.max("home").alias("some")).where("n > 1 and some")
+    units = cut(units.select("unit", "n", "all", F.ceil(F.greatest(F.col("n") / SPREAD, F.col("all") / SHINGLES)).alias("blocks")))
+    whole = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("all"), F.lit(0)).alias("all")).first()
+    tables = max(CENTRES, -(-whole["rows"] // PACKED), -(-whole["all"] // SHINGLES))
+    kind = units.drop("all")
+    placed = seated.join(F.broadcast(kind.drop("n")), "unit") if whole["units"] <= BROADCAST_KEYS else attach(seated, kind, "unit", whole["rows"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    small = placed.where("blocks = 1").select("fp", "home", "block", F.pmod("unit", F.lit(tables)).alias("unit"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
+    large = placed.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.select("fp", "home", "block", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        fp, home, block = (table.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "home", "block"))
+        lists = table.column("shingles").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        allowed = lambda i: (home | home[i]) & (fp != fp[i]) & ((block != block[i]) | (not across))
+        found = forest([values[x:y] for x, y in zip(ends[:-1], ends[1:])], allowed, least)
+        a, b = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        return pa.table({"a": fp[a], "b": fp[b]})
+
+    dealt = small.unionByName(large).join(sets, "fp")
+    return dealt.groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_copy_links(docs: DataFrame, rows: DataFrame, least: float = LEAST, size: int = SIZE, tree: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of column fp that connect all candidate pairs of at least `least`.
 
-    rows: the sketches of `docs`.
+    rows: the sketches of `docs`. tree: (node, component) of the fingerprints that are linked to others.
     """
-    return _grown(docs, rows, least, size)[0]
+    return _grown(docs, rows, least, size, tree)
 
 
-def near_copy_groups(docs: DataFrame, rows: DataFrame, least: float = LEAST, size: int = SIZE) -> DataFrame:
+def near_copy_groups(docs: DataFrame, rows: DataFrame, least: float = LEAST, size: int = SIZE, tree: DataFrame | None = None) -> DataFrame:
     """(node, component) of column fp: what these edges connect; a value without any has no row."""
-    return _grown(docs, rows, least, size)[1]
+    return connected_components(_grown(docs, rows, least, size, tree))
 
 
-def _grown(docs: DataFrame, rows: DataFrame, least: float, size: int) -> tuple[DataFrame, DataFrame]:
-    dealt = cut(rows.dropDuplicates(["fp"]).select("fp", "n", "bands")).select("fp", F.col("n").alias("size"), F.explode("bands").alias("band"))
+def _grown(docs: DataFrame, rows: DataFrame, least: float, size: int, tree: DataFrame | None) -> DataFrame:
+    texts, near = rows.dropDuplicates(["fp"]).select("fp", "n", "bands", "simhash"), F.col("simhash")
+    if tree is not None:
+        texts = texts.join(tree.select(F.col("node").alias("simhash"), "component"), "simhash", "left")
+        near = F.coalesce("component", "simhash")
+    dealt = cut(texts.select("fp", "n", F.concat("bands", F.array(F.xxhash64(near, F.lit(SEED)))).alias("bands"))).select("fp", F.col("n").alias("size"), F.explode("bands").alias("band"))
     shared = Written(dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")).frame
     held = shared.agg(F.count("*").alias("bands"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    members = dealt.join(F.broadcast(shared), "band") if held["bands"] <= BROADCAST_KEYS else attach(dealt, shared.withColumn("members", F.col("n")), "band", held["rows"]).withColumnRenamed("members", "n")
+    few = held["bands"] <= BROADCAST_KEYS
+    members = dealt.join(F.broadcast(shared), "band") if few else attach(dealt, shared.withColumn("members", F.col("n")), "band", held["rows"]).withColumnRenamed("members", "n")
     members = Written(members.select("band", "fp", "size"))
     sets = cut(_sets(docs, rows, members.frame.select("fp").distinct(), size))
     # shingles that one text alone has
     alone = sets.select("fp", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).where("n = 1")
     alone = alone.groupBy("fp").agg(F.count("*").alias("alone"))
-    common = F.col("size") - F.coalesce("alone", F.lit(0))
-    open_ = members.next(members.frame.join(alone, "fp", "left").select("band", "fp", "size", common.alias("common"), F.col("fp").alias("group")).where(F.col("common") >= least * F.col("size")))
-    links, component, centres = None, None, CENTRES
-    while True:
-        # the least changed of each band, in the same order in all bands, so that a group has few centres over all of its
-        # bands; and others with the chance that gives about as many as there should be
-        turn = F.struct((1 - F.col("common") / F.col("size")).alias("alone"), F.xxhash64("fp", F.lit(centres)).alias("hash"))
-        first = open_.frame.groupBy("band").agg(F.min(turn).alias("turn"), F.count("*").alias("n"))
-        near = open_.frame.join(F.broadcast(first), "band") if held["bands"] <= BROADCAST_KEYS else attach(open_.frame, first.withColumn("members", F.col("n")), "band", held["rows"]).withColumnRenamed("members", "n")
-        own = (turn == F.col("turn")) | (F.pmod(turn["hash"], F.lit(1 << 30)) < F.lit((centres - 1) * (1 << 30)) / F.col("n"))
-        open_ = open_.next(near.select("band", "fp", "size", "common", "group", own.alias("centre")))
-        centre = open_.frame.where("centre").select("band", F.col("fp").alias("a"), F.col("size").alias("an"), F.col("common").alias("ac"), F.col("group").alias("own"))
-        centre = F.broadcast(centre) if centre.count() <= BROADCAST_KEYS else centre
-        most = F.least("common", "ac")
-        pairs = open_.frame.join(centre, "band").where("group <> own").where(most >= F.lit(least) * (F.col("size") + F.col("an") - most))
-        found = Written(_alike(pairs.select("a", "an", F.col("fp").alias("b"), F.col("size").alias("bn")), sets, least)).frame
-        if links is None or not found.isEmpty():
-            links = Written(found) if links is None else links.next(links.frame.unionByName(found))
-            component = connected_components(links.frame)
-        # bands whose members aren't all of one component go on, without the centres
-        group = component.withColumnRenamed("node", "fp")
-        left = open_.frame.where("not centre").drop("group", "centre").join(group, "fp", "left").select("band", "fp", "size", "common", F.coalesce("component", "fp").alias("group"))
-        apart = left.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("size").alias("shortest"), F.count("*").alias("n")).where("low < high").select("band", "shortest", "n")
-        apart = Written(apart).frame
-        held = apart.agg(F.count("*").alias("bands"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-        if not held["bands"]:
-            return links.frame, component
-        left = left.join(F.broadcast(apart.drop("n")), "band") if held["bands"] <= BROADCAST_KEYS else attach(left, apart, "band", held["rows"])
-        able = F.col("common") >= F.lit(least) * (F.col("size") + F.greatest("shortest", "common") - F.col("common"))
-        open_ = open_.next(left.where(able).select("band", "fp", "size", "common", "group"))
-        centres *= 4
+    able = members.frame.join(alone, "fp", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= least * F.col("size"))
+    members = members.next(able.select("band", "fp", "size"))
+    first = members.frame.groupBy("band").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
+    edges = members.frame.join(F.broadcast(first), "band") if few else attach(members.frame, first, "band", held["rows"])
+    group = connected_components(edges.select(F.col("fp").alias("a"), F.col("low").alias("b")))
+    grouped = group.select(F.col("node").alias("fp"), F.col("component").alias("group")).join(members.frame.select("fp", "size").distinct(), "fp")
+    return Written(_compared(grouped, sets, least)).frame

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -109,6 +110,24 @@ def test_every_lost_row_has_a_copy_that_stays(spark, docs, odd):
         assert [r[0] for r in stay if r[0] is not None] == ([min(ids)] if ids else [])
 
 
+def test_forest_connects_what_is_alike():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 40))) for _ in range(80)] + [np.arange(30)] * 20
+    found = near_copies.forest(sets, lambda i: np.ones(len(sets), bool), 0.4)
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(i, j)]
+    assert all(alike(i, j) for i, j in found) and len(found) < len(sets) < len(pairs)
+
+    def parts(edges):
+        up = list(range(len(sets)))
+        for i, j in edges:
+            low, high = sorted((up[i], up[j]))
+            up = [low if u == high else u for u in up]
+        return up
+
+    assert parts(found) == parts(pairs)
+
+
 def test_links_hold_exactly(spark, docs):
     texts = varied()
     df = docs(texts)
