@@ -281,10 +281,15 @@ def near_duplicates_removed(docs: DataFrame, radius: int = 2, size: int = 3) ->
     return first_of_each(docs, labelled(cut(fingerprints(docs, size)), lambda distinct: connected_components(near_links(distinct, radius))))
 
 
-def near_copies_removed(docs: DataFrame, least: float = near_copies.LEAST, size: int = near_copies.SIZE) -> DataFrame:
-    """As near_duplicates_removed, for near copies by word shingles (see `near_copies`)."""
+def near_copies_removed(docs: DataFrame, least: float = near_copies.LEAST, size: int = near_copies.SIZE, radius: int = 2) -> DataFrame:
+    """As near_duplicates_removed, for near copies by word shingles (see `near_copies`).
+
+    The tree links the fingerprints as there, and each of its components is one
+    more bucket of candidates; the shingle sets decide.
+    """
     rows = cut(near_copies.sketches(docs, size))
-    return first_of_each(docs, labelled(rows.select("doc_id", "key", "fp"), lambda _: near_copies.near_copy_groups(docs, rows, least, size)))
+    tree = connected_components(near_links(rows.select(F.col("simhash").alias("fp")).distinct(), radius))
+    return first_of_each(docs, labelled(rows.select("doc_id", "key", "fp"), lambda _: near_copies.near_copy_groups(docs, rows, least, size, tree)))
 
 
 def first_of_each(docs: DataFrame, labels: DataFrame) -> DataFrame:

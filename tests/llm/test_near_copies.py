@@ -128,6 +128,24 @@ def test_forest_connects_what_is_alike():
     assert parts(found) == parts(pairs)
 
 
+def test_the_tree_gives_candidates_too(spark, docs, monkeypatch):
+    # without any shared band, copies that the tree links at two bits are found all the same
+    monkeypatch.setattr(near_copies, "bands", lambda hashes, times: np.random.default_rng(hashes[:8]).integers(0, 2**63, 4).astype(np.uint64))
+    words = prose(8, 900)
+    texts = [" ".join(words), *(edited(words, [k]) for k in range(0, 900, 30)), " ".join(prose(9, 900))]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert {r.doc_id: r.simhash for r in near_copies.sketches(docs([*texts, "", "one two"])).collect()} == {k: p - (p >> 63 << 64) for k, p in enumerate([*prints, 0, simhash.fingerprint("one two", 5)])}
+    assert len(set(prints[:-1])) > 3
+    left, linked = set(range(1, len(texts))), [0]
+    while linked:
+        k = linked.pop()
+        near = {i for i in left if (prints[k] ^ prints[i]).bit_count() <= 2}
+        left -= near
+        linked += near
+    assert len(left) < len(texts) - 10
+    assert {r.doc_id for r in simhash.near_copies_removed(docs(texts)).collect()} <= {0} | left
+
+
 def test_links_hold_exactly(spark, docs):
     texts = varied()
     df = docs(texts)
